@@ -26,7 +26,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6)
+        return None if math.isnan(value) else value + 0.0
     return value
 
 
@@ -70,11 +70,14 @@ if __name__ == "__main__":
         if names and name not in names:
             continue
         began = time.time()
+        spent = 0.0
         try:
             if name in sqls:
+                query(spark, sf).write.format("noop").mode("overwrite").save()
+                spent = time.time() - began
                 outcome = compare(spark, con, query, sqls[name], sf)
             else:
                 outcome = f"(rows only: {query(spark, sf).count()})"
         except Exception as error:  # report and go on
             outcome = f"ERROR {type(error).__name__}: {str(error)[:900]}"
-        print(f"{'ok  ' if outcome is None else 'DIFF'} {name} {time.time() - began:.1f}s {outcome or ''}", flush=True)
+        print(f"{'ok  ' if outcome is None else 'DIFF'} {name} spark {spent:.1f}s, all {time.time() - began:.1f}s {outcome or ''}", flush=True)
