@@ -17,6 +17,8 @@ from .skew import lookup
 HUB_PART = 20_000
 # (source, vertex) pairs kept per batch of sources.
 BATCH_PAIRS = 20_000_000
+# Up to this many edges one task may hold them all, so hubs need no care.
+FEW_EDGES = 500_000
 
 
 def undirected_edges(*edge_lists: DataFrame) -> DataFrame:
@@ -48,11 +50,13 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _lowest_neighbour(arcs: DataFrame) -> DataFrame:
+def _lowest_neighbour(arcs: DataFrame, few: bool) -> DataFrame:
     """arcs with the lowest neighbour of ``src`` (or itself) as ``low``; hubs do not gather in one task."""
     lowest = arcs.groupBy("src").agg(
         F.least(F.col("src"), F.min("dst")).alias("low"), F.count(F.lit(1)).alias("_arcs")
     )
+    if few:
+        return arcs.join(lowest.drop("_arcs"), "src")
     return lookup(arcs, lowest, "src", weight="_arcs")
 
 
@@ -63,15 +67,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     directly below the lowest id of its component.
     """
     pairs = edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    before = None
+    before = (pairs.count(), None)
     while True:
+        few = before[0] <= FEW_EDGES
         large = (
-            _lowest_neighbour(_both_ways(pairs))
+            _lowest_neighbour(_both_ways(pairs), few)
             .filter(F.col("dst") > F.col("src"))
             .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
             .distinct()
         )
-        small = _lowest_neighbour(large)
+        small = _lowest_neighbour(large, few)
         down = small.filter(F.col("dst") != F.col("low")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         up = small.select("src", F.col("low").alias("dst"))
         pairs = cut(down.unionByName(up).distinct())

@@ -15,7 +15,7 @@ def spark():
         app="tests",
         master="local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
         },

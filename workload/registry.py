@@ -390,7 +390,8 @@ def q_emotion_pivot(spark, d):
 
 # --- topics -----------------------------------------------------------------------------------
 def documents_with_terms(spark, d):
-    return topics.add_terms(a.table(spark, d, "documents").select("doc_id", "text", "lang"), "text")
+    docs = a.table(spark, d, "documents").select("doc_id", "text", "lang")
+    return topics.add_terms(docs, "text", doc="doc_id")
 
 
 def q_tfidf_weights(spark, d):
