@@ -18,14 +18,20 @@ BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 _ESCAPES = {"b": BOUNDARY, "w": WORD, "W": NOT_WORD, "s": SPACE, "S": NOT_SPACE}
 _WHOLE_WORDS = re.compile(r"\\b\(([^()\\\[\]]+)\)\\b")
 
+# Letters that match an ASCII letter when case is ignored, though lower-casing does not reach it.
+_FOLD_FROM, _FOLD_TO = "\u017f\u0131\u0130\u212a", "siik"
+
 
 def _plain_words(match: re.Match) -> str:
-    """``\\b(a|b c|d)\\b`` over literals with word characters at both ends: two cheap lookarounds."""
-    words = match.group(1)
-    for word in words.split("|"):
-        if not re.fullmatch(r"\w(?:[\w' -]*\w)?", word):
-            return match.group(0)
-    return rf"(?<!{WORD})(?:{words})(?!{WORD})"
+    """``\\b(a|b c|d)\\b`` over literals with word characters at both ends: two cheap lookarounds.
+
+    A look at the first letter comes before them, since it rules out most positions.
+    """
+    words = match.group(1).split("|")
+    if not all(re.fullmatch(r"\w(?:[\w' -]*\w)?", word) for word in words):
+        return match.group(0)
+    first = "".join(sorted({word[0] for word in words}))
+    return rf"(?=[{first}])(?<!{WORD})(?:{match.group(1)})(?!{WORD})"
 
 
 def jvm_pattern(pattern: str, flags: str = "") -> str:
@@ -35,6 +41,20 @@ def jvm_pattern(pattern: str, flags: str = "") -> str:
     return f"(?{flags})" + body if flags else body
 
 
+def folded(text: Column) -> Column:
+    """Text prepared for rules that ignore case: what matches the lower-case rule in any case."""
+    special = text.rlike(f"[{_FOLD_FROM}]")
+    return F.lower(F.when(special, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
+
+
+def can_fold(rules: Mapping[str, str]) -> bool:
+    """Whether the rules are plain lower case, so that folded text may stand in for ignoring case.
+
+    Folding a text once is much cheaper than comparing every character of every rule both ways.
+    """
+    return all(p.isascii() and not re.search(r"[A-Z]", re.sub(r"\\.", "", p)) for p in rules.values())
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike(jvm_pattern(pattern, "iu" if ignore_case else ""))
 

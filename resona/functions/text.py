@@ -35,18 +35,20 @@ def hashtags(title: Column) -> Column:
 
 
 def section(text: Column, pattern: str) -> Column:
-    """First captured group of ``pattern``, stripped; null if the pattern is absent."""
+    """First captured group of ``pattern`` (which is the end of it), stripped; null if it is absent."""
     compiled = jvm_pattern(pattern, "isud")
-    return F.when(text.rlike(compiled), strip(F.regexp_extract(text, compiled, 1)))
+    # The long text is searched once; the group is then read from the passage found.
+    passage = F.regexp_extract(text, compiled, 0)
+    return F.when(passage != "", strip(F.regexp_extract(passage, compiled, 1)))
 
 
 def sections(text: Column, patterns: Mapping[str, str] = rulesets.SECTION_PATTERNS) -> list[Column]:
     return [section(text, pattern).alias(name) for name, pattern in patterns.items()]
 
 
-def _count_tokens(lowered: Column, words: Collection[str]) -> Column:
+def _count_tokens(text: Column, words: Collection[str]) -> Column:
     alternatives = "|".join(sorted(words, key=len, reverse=True))
-    return F.regexp_count(lowered, F.lit(rf"(?<![a-z'])(?:{alternatives})(?![a-z'])"))
+    return F.regexp_count(text, F.lit(rf"(?<![a-z'])(?:{alternatives})(?![a-z'])"))
 
 
 def sentiment_score(
@@ -54,10 +56,12 @@ def sentiment_score(
     positive: Collection[str] = rulesets.POSITIVE_WORDS,
     negative: Collection[str] = rulesets.NEGATIVE_WORDS,
 ) -> Column:
-    """(positive - negative tokens) / sqrt(all tokens); 0 without tokens. Tokens are runs of a-z and '."""
-    lowered = F.lower(text)
-    tokens = F.regexp_count(lowered, F.lit("[a-z']+"))
-    balance = _count_tokens(lowered, positive) - _count_tokens(lowered, negative)
+    """(positive - negative tokens) / sqrt(all tokens); 0 without tokens. Tokens are runs of a-z and '.
+
+    The text, here and in the two labels below, is lower-cased already.
+    """
+    tokens = F.regexp_count(text, F.lit("[a-z']+"))
+    balance = _count_tokens(text, positive) - _count_tokens(text, negative)
     return F.coalesce(balance / F.sqrt(F.nullif(tokens, F.lit(0))), F.lit(0.0))
 
 
@@ -68,11 +72,11 @@ def sentiment_label(score: Column, threshold: float = rulesets.SENTIMENT_THRESHO
 
 
 def emotion_label(text: Column, rules: Mapping[str, str] = rulesets.EMOTION_RULES) -> Column:
-    return first_label(F.lower(text), rules, rulesets.EMOTION_DEFAULT, ignore_case=False)
+    return first_label(text, rules, rulesets.EMOTION_DEFAULT, ignore_case=False)
 
 
 def comment_intent(text: Column, rules: Mapping[str, str] = rulesets.INTENT_RULES) -> Column:
-    return first_label(F.lower(text), rules, rulesets.INTENT_DEFAULT, ignore_case=False)
+    return first_label(text, rules, rulesets.INTENT_DEFAULT, ignore_case=False)
 
 
 def content_type(has_video: Column, has_audio: Column, has_images: Column) -> Column:

@@ -6,10 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import stored
 from ..sources.tables import WrittenTable, manifest, read_table, write_table, write_tables
 from .clusters import semantic_clusters
 from .comments import comment_intent_tables, comment_sentiment_tables
-from .core import build_core_tables
+from .core import base_tables, derived_tables
 from .creators import creator_bridge_metrics, creator_leverage
 from .rollups import (
     content_type_performance,
@@ -29,7 +30,11 @@ def write_core(
     url_prefix: str,
     summaries: DataFrame | None = None,
 ) -> tuple[dict[str, DataFrame], list[WrittenTable]]:
-    """Write the core tables as Parquet and return them read back, so nothing is computed twice."""
+    """Write the core tables as Parquet and return them read back, so nothing is computed twice.
+
+    The post records, which feed seven tables, are first turned into columns once; each table then
+    reads only its own. Tables derived from others start from those as written.
+    """
     written: list[WrittenTable] = []
     core: dict[str, DataFrame] = {}
 
@@ -39,7 +44,10 @@ def write_core(
         written.append(WrittenTable(name, "core", rows, cols, path))
         core[name] = read_table(spark, path, schema=df.schema)
 
-    for name, df in build_core_tables(raw, url_prefix).items():
+    columnar = {**raw, "posts": stored(raw["posts"], "posts-raw")}
+    for name, df in base_tables(columnar, url_prefix).items():
+        keep(name, df)
+    for name, df in derived_tables(core).items():
         keep(name, df)
     if summaries is not None:
         keep("posts_summaries", summaries)

@@ -37,7 +37,8 @@ def _with_post_columns(per_post: DataFrame, post_metrics: DataFrame) -> DataFram
 
 
 def label_intents(comments: DataFrame, rules: Mapping[str, str] = rulesets.INTENT_RULES) -> DataFrame:
-    return comments.withColumn("rough_intent", comment_intent(F.col("text"), rules))
+    lowered = comments.withColumn("_lowered", F.lower("text"))
+    return lowered.withColumn("rough_intent", comment_intent(F.col("_lowered"), rules)).drop("_lowered")
 
 
 def intent_summary(labelled: DataFrame) -> DataFrame:
@@ -91,14 +92,11 @@ def score_sentiment(
 ) -> DataFrame:
     """Cleaned text, sentiment score and label, and emotion of each comment."""
     out = comments.withColumn("comment_text_clean", clean_text(F.col("text")))
-    clean = F.col("comment_text_clean")
-    out = out.withColumn("sentiment_score", sentiment_score(clean, positive, negative))
-    return out.withColumns(
-        {
-            "sentiment_label": sentiment_label(F.col("sentiment_score")),
-            "emotion_label": emotion_label(clean, emotions),
-        }
+    lowered = F.col("_lowered")
+    out = out.withColumn("_lowered", F.lower("comment_text_clean")).withColumns(
+        {"sentiment_score": sentiment_score(lowered, positive, negative), "emotion_label": emotion_label(lowered, emotions)}
     )
+    return out.drop("_lowered").withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
 
 
 def sentiment_summary(scored: DataFrame) -> DataFrame:

@@ -109,24 +109,27 @@ def build_post_metrics(
     return out.withColumn("avg_comment_diggs", mean_likes).drop("_likes")
 
 
-def normalize_posts(raw: DataFrame, url_prefix: str) -> dict[str, DataFrame]:
+def post_tables(raw: DataFrame, url_prefix: str) -> dict[str, DataFrame]:
+    """The tables that come straight from the post records."""
     raw = add_time_features(cast_ids(ensure_video_id(raw)))
     posts = post_scalars(raw, url_prefix)
-    comments = post_comments(raw)
-    images = post_images(raw)
-    tags = post_hashtags(posts)
     return {
         "posts": posts,
         "posts_author": flatten_struct(raw, ["video_id"], "author", "author_"),
         "posts_music": flatten_struct(raw, ["video_id"], "music_info", "music_"),
         "posts_commerce": flatten_struct(raw, ["video_id"], "commerce_info", "commerce_"),
-        "posts_comments": comments,
-        "posts_images": images,
-        "posts_hashtags": tags,
-        "post_metrics": build_post_metrics(posts, comments, images, tags),
+        "posts_comments": post_comments(raw),
+        "posts_images": post_images(raw),
+        "posts_hashtags": post_hashtags(posts),
     }
 
 
+def normalize_posts(raw: DataFrame, url_prefix: str) -> dict[str, DataFrame]:
+    tables = post_tables(raw, url_prefix)
+    parts = (tables[f"posts{suffix}"] for suffix in ("", "_comments", "_images", "_hashtags"))
+    return {**tables, "post_metrics": build_post_metrics(*parts)}
+
+
 # --- authors ----------------------------------------------------------------------------------
 def flatten_authors(raw: DataFrame) -> DataFrame:
     """Author id with the flattened ``user`` and ``stats`` records of the same row."""
@@ -185,14 +188,6 @@ def build_authorpost_metrics(activity: DataFrame) -> DataFrame:
     return out.withColumn("posts_per_month", rate)
 
 
-def normalize_author_activity(name: str, raw: DataFrame) -> dict[str, DataFrame]:
-    activity = author_activity(raw)
-    tables = {name: activity}
-    if name == "authorposts":
-        tables["authorpost_metrics"] = build_authorpost_metrics(activity)
-    return tables
-
-
 # --- network ----------------------------------------------------------------------------------
 def network_edges(raw: DataFrame, entity: str) -> DataFrame:
     """One row per listed account, its fields prefixed by ``entity``."""
@@ -236,13 +231,35 @@ def normalize_network(name: str, raw: DataFrame, entity: str) -> dict[str, DataF
     return tables
 
 
-def build_core_tables(raw: Mapping[str, DataFrame], url_prefix: str) -> dict[str, DataFrame]:
-    """All core tables but the summaries, as lazy DataFrames."""
+# --- all together -----------------------------------------------------------------------------
+def base_tables(raw: Mapping[str, DataFrame], url_prefix: str) -> dict[str, DataFrame]:
+    """Tables read off the raw records row by row."""
     return {
-        **normalize_posts(raw["posts"], url_prefix),
-        **normalize_authors(raw["authors"]),
-        **normalize_author_activity("authorposts", raw["author_posts"]),
-        **normalize_author_activity("authorfavorites", raw["author_favorites"]),
-        **normalize_network("authorfollowers", raw["author_followers"], "follower"),
-        **normalize_network("authorfollowings", raw["author_followings"], "followed"),
+        **post_tables(raw["posts"], url_prefix),
+        "authors": flatten_authors(raw["authors"]),
+        "authorposts": author_activity(raw["author_posts"]),
+        "authorfavorites": author_activity(raw["author_favorites"]),
+        "authorfollowers": network_edges(raw["author_followers"], "follower"),
+        "authorfollowings": network_edges(raw["author_followings"], "followed"),
     }
+
+
+def derived_tables(base: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables computed from the base tables, as lazy DataFrames."""
+    tables = {
+        "post_metrics": build_post_metrics(
+            base["posts"], base["posts_comments"], base["posts_images"], base["posts_hashtags"]
+        ),
+        "author_metrics": build_author_metrics(base["authors"]),
+        "authorpost_metrics": build_authorpost_metrics(base["authorposts"]),
+    }
+    for name, entity in (("authorfollowers", "follower"), ("authorfollowings", "followed")):
+        if f"{entity}_region" in base[name].columns:
+            tables[f"{name}_metrics"] = build_network_metrics(base[name], entity)
+    return tables
+
+
+def build_core_tables(raw: Mapping[str, DataFrame], url_prefix: str) -> dict[str, DataFrame]:
+    """All core tables but the summaries, as lazy DataFrames."""
+    base = base_tables(raw, url_prefix)
+    return {**base, **derived_tables(base)}

@@ -32,6 +32,15 @@ def read_table(
     return reader.load(path)
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread a stored table over the cores if it has fewer splits than there are cores.
+
+    For heavy work per row on few, small files; a table of many files passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_optional(
     spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet"
 ) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.functions import numbers, rulesets, text
-from resona.functions.rules import all_labels, first_label, jvm_pattern
+from resona.functions.rules import all_labels, first_label, folded, jvm_pattern
 
 
 def evaluate(spark, values, expression, schema="v STRING"):
@@ -26,10 +26,10 @@ def test_clean_text(spark):
 
 def test_sentiment(spark):
     values = ["I love this, thank you", "too late, it is a hoax", "!!!", None, "don't hope hopeful", "LOVE love'"]
-    scores = evaluate(spark, values, text.sentiment_score)
+    scores = evaluate(spark, values, lambda c: text.sentiment_score(F.lower(c)))
     # "love'" is another token than "love"; "hopeful" is another word than "hope"
     assert [round(s, 6) for s in scores] == [0.894427, -0.816497, 0.0, 0.0, round(1 / 3**0.5, 6), round(1 / 2**0.5, 6)]
-    labels = evaluate(spark, values, lambda c: text.sentiment_label(text.sentiment_score(c)))
+    labels = evaluate(spark, values, lambda c: text.sentiment_label(text.sentiment_score(F.lower(c))))
     assert labels == ["positive", "negative", "neutral", "neutral", "positive", "positive"]
 
 
@@ -40,19 +40,19 @@ def test_sentiment_matches_token_lists(spark):
         tokens = re.findall(r"[a-z']+", value.lower())
         hits = sum(t in rulesets.POSITIVE_WORDS for t in tokens) - sum(t in rulesets.NEGATIVE_WORDS for t in tokens)
         expected.append(hits / len(tokens) ** 0.5 if tokens else 0.0)
-    assert evaluate(spark, values, text.sentiment_score) == pytest.approx(expected)
+    assert evaluate(spark, values, lambda c: text.sentiment_score(F.lower(c))) == pytest.approx(expected)
 
 
 def test_emotion(spark):
     values = ["I love this, thank you", "too late, it is a hoax", "!!!", None, "really?", "I dont know", "HOPE dies"]
-    assert evaluate(spark, values, text.emotion_label) == [
+    assert evaluate(spark, values, lambda c: text.emotion_label(F.lower(c))) == [
         "support", "anxiety", "neutral", "neutral", "confusion", "confusion", "hope",
     ]
 
 
 def test_intent(spark):
     values = ["I can't afford it", "but how?", "really?", None, "It's a HOAX", "wow", "nothing"]
-    assert evaluate(spark, values, text.comment_intent) == [
+    assert evaluate(spark, values, lambda c: text.comment_intent(F.lower(c))) == [
         "action_oriented", "barrier_or_constraint", "info_question", "general_reaction", "skeptic_or_counter",
         "support_affect", "general_reaction",
     ]
@@ -85,10 +85,13 @@ def test_all_default_rules_match_python(spark):
         for p in r.values()
     ]
     words = sorted({w for p in rules for w in re.findall(r"[a-z][a-z' ]*", p)})
-    values = [form for w in words for form in (w, w.upper(), f"x{w}", f"{w}é", f"({w})", f"{w}_")]
+    values = [form for w in words for form in (w, w.upper(), f"x{w}", f"{w}é", f"({w})", f"{w}_", w.replace("s", "\u017f"), w.replace("i", "\u0130"), w.replace("k", "\u212a"))]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i INT, v STRING")
     columns = [F.col("v").rlike(jvm_pattern(p, "iu")).alias(f"p{j}") for j, p in enumerate(rules)]
+    columns += [folded(F.col("v")).rlike(jvm_pattern(p)).alias(f"f{j}") for j, p in enumerate(rules)]
     got = [tuple(r) for r in df.orderBy("i").select(*columns).collect()]
+    got, by_folding = [r[: len(rules)] for r in got], [r[len(rules) :] for r in got]
+    assert by_folding == got
     assert got == [tuple(bool(re.search(p, v, re.IGNORECASE)) for p in rules) for v in values]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from resona.functions.numbers import minutes_between
 from resona.operators.skew import lookup
+from resona.sources.tables import fill_cores
 
 URL_PREFIX = "https://video.example/post/"
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take much work each."""
+    return fill_cores(table(spark, sf_dir, name))
+
+
 def _epoch_text(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp")).cast("string")
 
@@ -164,7 +170,7 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as comments without time."""
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("video_id"),
         (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("comment_id"),
         "text",
@@ -176,7 +182,7 @@ def text_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as summary texts; doc ids meet order keys as post ids."""
     source = F.col("source")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("video_id"),
         source.alias("content_type"),
         F.col("text").alias("semantic_text"),

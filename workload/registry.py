@@ -308,7 +308,7 @@ def q_default_rule_labels(spark, d):
 
 
 def q_section_extract(spark, d):
-    docs = a.table(spark, d, "documents")
+    docs = a.texts(spark, d, "documents")
     text = F.concat(
         F.lit("**1. The overall mood:**\n"), "source", F.lit(" \n**2. NARRATIVE message:**\n"), "text",
         F.lit("\n**3. Nature of the audio:** "), "lang", F.lit("\n"),
@@ -320,7 +320,7 @@ def q_section_extract(spark, d):
 
 
 def q_clean_text(spark, d):
-    pages = a.table(spark, d, "pages")
+    pages = a.texts(spark, d, "pages")
     text = F.concat_ws("\n\t", "url", "html", F.concat(F.lit("  see "), "url", F.lit(" or www.x.org/a  ")))
     return pages.select("page_id", clean_text(text).alias("clean"))
 
