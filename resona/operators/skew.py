@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 # Most keys treated apart. A key outside the list holds less than about 1/HOT_KEYS of the rows, and
 # the broadcast side of the join never has more rows than this.
@@ -34,7 +35,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str | None = Non
     """Left join on ``key`` where ``right`` has one row per key, safe for hot and null keys of ``left``.
 
     The rows of hot keys get their values from a broadcast of at most ``HOT_KEYS`` rows and then
-    travel with a random spread key, as do rows with a null key; all other rows join as usual.
+    travel with a spread key, as do rows with a null key; all other rows join as usual.
     ``weight`` names a column of ``right`` that counts the rows of ``left`` per key: the hot keys are
     then read off it (and the column is dropped); without it one pass over the keys of ``left``
     finds them.
@@ -51,8 +52,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str | None = Non
 
     marked = left.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), key, "left")
     cold_key = F.when(F.col("_is_hot").isNull(), F.col(key))
+    # By the row's content, not at random: a repeated task must send each row where it went before.
+    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema if not isinstance(f.dataType, MapType)])
     spread = marked.withColumn("_key", cold_key).withColumn(
-        "_spread", F.when(F.col("_key").isNull(), 1 + F.floor(F.rand(17) * SPREAD)).otherwise(F.lit(0))
+        "_spread", F.when(F.col("_key").isNull(), 1 + F.pmod(content, F.lit(SPREAD))).otherwise(F.lit(0))
     )
     cold = right.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_spread"), values.alias("_cold"))
     joined = spread.join(cold, ["_key", "_spread"], "left")

@@ -114,8 +114,9 @@ def creator_bridge_metrics(
         .join(keep_present(authors, ("author_id", "stats_followerCount", "stats_heartCount", "stats_videoCount")), "author_id", "left")
     )
     nodes = component_sizes(components)
-    posts_of = lookup(base.select("author_id"), components.withColumnRenamed("id", "author_id"), "author_id")
-    posts_of = posts_of.groupBy("component_id").agg(F.count(F.lit(1)).alias("component_size"))
+    posts_of = base.groupBy("author_id").agg(F.count(F.lit(1)).alias("_posts"))
+    posts_of = posts_of.join(components.withColumnRenamed("id", "author_id"), "author_id")
+    posts_of = posts_of.groupBy("component_id").agg(F.sum("_posts").alias("component_size"))
     sized = nodes.join(posts_of, "component_id", "left")
     facts = lookup(facts, sized, "component_id").select(
         "author_id",

@@ -14,7 +14,7 @@ from resona.operators.nesting import ensure_video_id, keyed_records, nested_to_j
 from resona.operators.ranks import add_percent_ranks
 from resona.plans import clusters, comments, core, creators, rollups, summaries, views
 from resona.plans.build import write_core
-from resona.session import cut, fresh_path
+from resona.session import cut, fresh_path, stored
 from resona.sources.media import media_flags
 from resona.sources.tables import manifest, read_table, write_table
 
@@ -48,7 +48,8 @@ def labelled_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return summaries.enrich_posts(posts(spark, d), labelled_summaries(spark, d))
+    out = summaries.enrich_posts(posts(spark, d).drop("download_count", "url"), labelled_summaries(spark, d))
+    return stored(out, "enriched")  # read several times, as in the batch job
 
 
 # --- posts ------------------------------------------------------------------------------------
