@@ -6,6 +6,7 @@ import pytest
 from conftest import records
 from pyspark.sql import functions as F
 
+from resona.operators import topics
 from resona.plans import build, clusters, comments, core, creators, rollups, summaries, views
 from resona.session import fresh_path
 from resona.sources import media, tables
@@ -310,3 +311,10 @@ def test_no_python_in_plans(tables_of):
     for df in (*tables_of.values(), scored, comments.sentiment_summary(scored)):
         text = plan(df)
         assert "Python" not in text and "CartesianProduct" not in text
+
+
+def test_top_terms_are_cut_before_the_shuffle(spark):
+    centres = spark.createDataFrame([(0, "a", 0.5, 1), (0, "b", 0.5, 1)], "cluster_id INT, term STRING, centre DOUBLE, _rows INT")
+    out = topics.top_terms(centres, n=1)
+    assert "WindowGroupLimit" in plan(out)
+    assert tuple(out.first()) == (0, "a", "a")
