@@ -27,6 +27,12 @@ INTENTS = {"asks": r"\?", "points": r"\b(the|la|das)\b", "adds": r"\b(and|et|und
 EMOTIONS = {"warm": r"\b(le|el|der)\b", "cold": r"\b(of|de|von)\b", "open": r"\b(is|est|ist)\b|!"}
 POSITIVE = ("the", "la", "und", "is", "el")
 NEGATIVE = ("of", "de", "der", "by", "en")
+STOP_WORDS = (
+    "the", "of", "and", "to", "in", "is", "it", "as", "by", "on", "with", "was", "are", "this",
+    "le", "la", "les", "des", "et", "un", "une", "que", "qui", "en", "dans", "pour",
+    "der", "die", "das", "und", "ein", "eine", "mit", "von", "ist",
+    "el", "los", "las", "de", "con", "por", "una", "es",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

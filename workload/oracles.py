@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from resona.functions import rulesets
-from resona.operators.topics import english_stop_words
 
 from . import adapters as a
 
@@ -222,7 +221,7 @@ sentiment_table AS (SELECT sentiment_label, emotion_label, count(comment_id) AS
 
 
 def terms_sql() -> str:
-    stops = ", ".join(quoted(w) for w in english_stop_words())
+    stops = ", ".join(quoted(w) for w in a.STOP_WORDS)
     return f"""
 words AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([{stops}], w)) AS w FROM documents),
 grams AS (SELECT doc_id, unnest(w) AS term FROM words

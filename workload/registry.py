@@ -392,7 +392,7 @@ def q_emotion_pivot(spark, d):
 # --- topics -----------------------------------------------------------------------------------
 def documents_with_terms(spark, d):
     docs = a.table(spark, d, "documents").select("doc_id", "text", "lang")
-    return topics.add_terms(docs, "text", doc="doc_id")
+    return topics.add_terms(docs, "text", a.STOP_WORDS, doc="doc_id")
 
 
 def q_tfidf_weights(spark, d):
