@@ -8,17 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .frames import table
+from .languages import detect_languages
+from .quality import quality_scores
 from .token_counts import token_counts
+from .token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_languages(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op9_token_counts,)}
+    return {q.__name__: q for q in (op2_language_mixture, op3_quality, op5_token_files, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
