@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .frames import table
 from .languages import detect_languages
+from .phrases import phrase_fingerprints
 from .quality import quality_scores
+from .shingle_join import similar_components
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -28,12 +30,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_language_mixture, op3_quality, op5_token_files, op9_token_counts)}
+    return {q.__name__: q for q in (op2_language_mixture, op3_quality, op5_token_files, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
