@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contained_items
 from .frames import table
 from .languages import detect_languages
+from .mixing import mixed_words
 from .phrases import phrase_fingerprints
 from .quality import quality_scores
 from .shingle_join import similar_components
@@ -30,6 +32,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_words(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -43,7 +53,7 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_language_mixture, op3_quality, op5_token_files, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints)}
+    return {q.__name__: q for q in (op2_language_mixture, op3_quality, op5_token_files, op6_mixing, op7_decontamination, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
