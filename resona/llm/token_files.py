@@ -26,8 +26,10 @@ from .frames import arrow_rows, folder_uri, map_arrow, read_docs, stored
 
 LENGTH = 2048
 PER_BATCH = 64
-# Entries of a worker's tables of known chunks and words; a full table is emptied, which changes no result.
-KNOWN = 500_000
+# Entries of a worker's tables of known chunks and words. A full table becomes the older one, from which entries
+# that are met again return; none of this changes a result.
+KNOWN_CHUNKS = 200_000
+KNOWN_WORDS = 400_000
 
 # The tokenizer file's word pattern (fields of its JSON), and its letters and numbers below
 # U+0180 after lower-casing. Chunks with other characters go to the library.
@@ -38,6 +40,22 @@ OTHER = re.compile("[^\x00-įı-ſ]")
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+class Recent:
+    """Packed ids of recent strings, in a younger and an older table."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What of ``wanted`` is in neither table; the rest is in the younger one afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        lacking = wanted - self.young.keys()
+        back = lacking & self.old.keys()
+        self.young.update((k, self.old[k]) for k in back)
+        return lacking - back
+
+
 class Encoder:
     """Ids of whole texts under one file of the tokenizers library, as packed unsigned integers.
 
@@ -70,8 +88,7 @@ class Encoder:
         self.ends = np.zeros(size, dtype=bool)
         for token, number in self.library.get_vocab(with_added_tokens=True).items():
             self.ends[number] = bool(suffix) and token.endswith(suffix)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(KNOWN_CHUNKS), Recent(KNOWN_WORDS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -84,26 +101,23 @@ class Encoder:
             ids = np.array(encoding.ids, dtype=self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(group) or (len(stops) and stops[-1] != len(ids)):
-                self.words.update((w, self.whole(w)) for w in group)
+                self.words.young.update((w, self.whole(w)) for w in group)
                 continue
             packed, width, start = ids.tobytes(), self.kind.itemsize, 0
             for word, stop in zip(group, stops.tolist()):
-                self.words[word] = packed[start * width : stop * width]
+                self.words.young[word] = packed[start * width : stop * width]
                 start = stop
 
     def learn(self, chunks: set[str]) -> None:
         parts = {c: WORD.findall(c.lower()) for c in chunks if not OTHER.search(c)}
-        if len(self.words) > KNOWN:
-            self.words = {}
-        known = self.words
-        new = list({w for words in parts.values() for w in words if w not in known})
-        self.learn_words(new)
+        self.learn_words(list(self.words.missing(set().union(*parts.values()))))
+        known, packed = self.words.young, self.chunks.young
         for chunk in chunks:
             words = parts.get(chunk)
             if words is None:
-                self.chunks[chunk] = self.whole(chunk)
+                packed[chunk] = self.whole(chunk)
             else:
-                self.chunks[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+                packed[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
@@ -111,10 +125,8 @@ class Encoder:
         as_whole = {i for i, t in enumerate(texts) if any(m in t for m in self.marks) or any(s in t for s in SEPARATORS)}
         cuts = [[] if i in as_whole else t.split() for i, t in enumerate(texts)]
         wanted = set().union(*cuts)
-        if len(self.chunks) + len(wanted) > KNOWN:
-            self.chunks = {}
-        self.learn(wanted - self.chunks.keys())
-        get = self.chunks.__getitem__
+        self.learn(self.chunks.missing(wanted))
+        get = self.chunks.young.__getitem__
         return [self.whole(texts[i]) if i in as_whole else b"".join(map(get, cut)) for i, cut in enumerate(cuts)]
 
 
