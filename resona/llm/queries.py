@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contained_items
 from .frames import table
 from .languages import detect_languages
+from .licenses import license_scan
 from .mixing import mixed_words
 from .phrases import phrase_fingerprints
 from .quality import quality_scores
+from .repeated_lines import removed_lines
 from .shingle_join import similar_components
 from .token_counts import token_counts
 from .token_files import token_files
@@ -20,6 +22,11 @@ from .token_files import token_files
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = removed_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed_words", F.array_join("removed", ",").alias("removed"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(table(spark, sf_dir, "documents"))
 
@@ -28,6 +35,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    found = license_scan(files)
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).cast("long").alias("doc_id"), "path", "licence", F.round("cosine", 6).alias("cosine"), "found")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,7 +68,7 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_language_mixture, op3_quality, op5_token_files, op6_mixing, op7_decontamination, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints)}
+    return {q.__name__: q for q in (op1_repeated_lines, op2_language_mixture, op3_quality, op4_licenses, op5_token_files, op6_mixing, op7_decontamination, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
