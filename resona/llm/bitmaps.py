@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Bits of a bitmap: 8 MB, whatever the data. A full one lets everything pass.
@@ -27,3 +30,27 @@ def bitmap(places: DataFrame) -> np.ndarray:
 
 def hits(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is among ``ids`` (one column, no null).
+
+    Only rows that hit the bitmap of ``ids`` are shuffled for the exact join; rows with a null id stay.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap(ids.select(place(F.col("_gone")))))
+    at = F.coalesce(place(F.col("doc_id").cast("long")), F.lit(-1))
+    placed = docs.select("*", at.alias("_place"))
+
+    def rows(hit: bool) -> DataFrame:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = batch.column("_place").to_numpy()
+                met = hits(shared.value, np.maximum(places, 0)) & (places >= 0)
+                yield batch.filter(pa.array(met == hit)).drop_columns(["_place"])
+
+        return placed.mapInArrow(task, docs.schema)
+
+    doubtful = rows(True).join(ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return rows(False).unionByName(doubtful)

@@ -159,58 +159,80 @@ def pooled(scores: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def apply_ridge(rows: DataFrame, features: FourierMap, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` and the ridge's raw score of each row; ``keep`` holds ``doc_id``, ``held_out`` or ``y``."""
-    types = {"doc_id": "long", "held_out": "boolean", "y": "double"}
+def raw_scores(rows: DataFrame, features: FourierMap, weights: np.ndarray) -> DataFrame:
+    """``y`` and the ridge's score of each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in arrow_rows(batches):
-            raw = features(matrix_of(part, "stats")) @ weights
-            yield pa.record_batch([*[part.column(c) for c in keep], pa.array(raw)], names=[*keep, "raw"])
+            yield pa.record_batch([part.column("y"), pa.array(features(matrix_of(part, "stats")) @ weights)], names=["y", "raw"])
 
-    return map_arrow(rows.select(*keep, "stats"), task, ", ".join([*[f"{c} {types[c]}" for c in keep], "raw double"]))
+    return map_arrow(rows.select("y", "stats"), task, "y double, raw double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` per row of ``docs``, over whole texts.
+class QualityModel:
+    """Scores statistics: ridge weights on random cosines, then the rising step function."""
 
-    ``labels`` has ``doc_id`` and ``quality`` (0 or 1; other values and nulls are no label). Several labels of a
-    document count as their mean, if they differ; a null id is never matched. Ids with crc32 remainder 2 are held
-    out, remainder 3 calibrates, the rest fits. Without any label every score is 0.5; if all labels agree, it is
-    that label. Empty and null texts have all-zero statistics and a score like any other. Repeated rows get equal rows, an empty table
-    gives an empty one, further columns are ignored.
-    """
-    stats = document_statistics(docs)
+    def __init__(self, features: FourierMap | None, weights: np.ndarray | None, xs: np.ndarray, ys: np.ndarray):
+        self.features, self.weights, self.xs, self.ys = features, weights, xs, ys
+
+    def __call__(self, stats: np.ndarray) -> np.ndarray:
+        if self.features is None:
+            return np.full(len(stats), self.ys[0])
+        return np.clip(np.interp(self.features(stats) @ self.weights, self.xs, self.ys), 0, 1)
+
+
+def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
+    """Model from the statistics of all labelled documents that aren't held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     marks = marks.filter("y IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
     train = stats.filter("NOT held_out AND doc_id IS NOT NULL").join(marks, "doc_id").select("doc_id", "stats", "y")
     train = stored(train, "quality-train")
-    first = train.agg(
-        Summarizer.mean(array_to_vector("stats")).alias("mean"), Summarizer.std(array_to_vector("stats")).alias("spread"), F.avg("y").alias("y")
-    ).first()
+    vector = array_to_vector("stats")
+    first = train.agg(Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("spread"), F.avg("y").alias("y")).first()
     if first["y"] is None or first["y"] in (0.0, 1.0):
-        constant = 0.5 if first["y"] is None else first["y"]
-        scored = stats.select("doc_id", "held_out", F.lit(constant).alias("score"))
-        return scored.withColumn("predicted", (F.col("score") >= good).cast("int"))
+        return QualityModel(None, None, np.zeros(1), np.array([0.5 if first["y"] is None else first["y"]]))
     features = FourierMap(first["mean"].toArray(), first["spread"].toArray())
     calibrating = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
     matrix, target, n = normal_equations(train.filter(~calibrating), features)
     weights = np.linalg.solve(matrix + RIDGE * max(1, n) * np.eye(len(target)), target)
     step = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("raw"))) * STEPS)
-    steps = apply_ridge(train.filter(calibrating), features, weights, ["y"]).groupBy(step.alias("step"))
+    steps = raw_scores(train.filter(calibrating), features, weights).groupBy(step.alias("step"))
     steps = sorted(tuple(r) for r in steps.agg(F.sum("y"), F.count(F.lit(1))).collect())  # 3 * STEPS rows at most
     if not steps:
         steps = [(0.0, 0.0, 1), (float(STEPS), 1.0, 1)]
     places, sums, counts = (np.array(x, dtype=float) for x in zip(*steps))
-    xs, ys = pooled(places / STEPS, sums, counts)
+    return QualityModel(features, weights, *pooled(places / STEPS, sums, counts))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` per row of ``docs``, over whole texts.
+
+    ``labels`` has ``doc_id`` and ``quality`` (0 or 1; other values and nulls are no label). Several labels of a
+    document count as their mean; a null id is never matched. Ids with crc32 remainder 2 are held out, remainder 3
+    calibrates, the rest fits. Without any label every score is 0.5; if all labels agree, it is that label. Empty and
+    null texts have all-zero statistics and a score like any other. Repeated rows get equal rows, an empty table
+    gives an empty one, further columns are ignored.
+    """
+    stats = document_statistics(docs)
+    model = fit_quality(stats, labels)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in arrow_rows(batches):
-            raw = features(matrix_of(part, "stats")) @ weights
-            score = np.clip(np.interp(raw, xs, ys), 0, 1)
+            score = model(matrix_of(part, "stats"))
             yield pa.record_batch(
                 [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= good).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
     return map_arrow(stats, task, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``good``, judged in the pass that keeps them."""
+    model = fit_quality(document_statistics(docs), labels)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (texts,) in arrow_rows(batches, "text"):
+            yield part.filter(pa.array(model(np.array([statistics(t) for t in texts])) >= good))
+
+    return docs.mapInArrow(task, docs.schema)

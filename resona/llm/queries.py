@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,7 +69,11 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_repeated_lines, op2_language_mixture, op3_quality, op4_licenses, op5_token_files, op6_mixing, op7_decontamination, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints)}
+    numbered = (
+        op1_repeated_lines, op2_language_mixture, op3_quality, op4_licenses, op5_token_files,
+        op6_mixing, op7_decontamination, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints,
+    )
+    return {q.__name__: q for q in numbered} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import connected_components
-from .bitmaps import bitmap, hits, place
+from .bitmaps import bitmap, hits, place, without_ids
 from .frames import arrow_rows, map_arrow, read_docs, stored
 from .shingles import mixed, shingle_set
 
@@ -244,3 +244,18 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     out = base.join(by_set, SET_KEY, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``docs`` with one document of each component of similar ones: that with the lowest id.
+
+    Rows of one id that are equal in all columns are one document; rows with a null id stay.
+    """
+    found = stored(similar_components(docs, width, percent), "components")
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    kept = without_ids(docs, stored(gone, "copies"))
+    twice = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice.withColumnRenamed("doc_id", "_twice"), F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
+    return without_ids(kept, twice).unionByName(again.dropDuplicates())
