@@ -37,20 +37,20 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Only rows that hit the bitmap of ``ids`` are shuffled for the exact join; rows with a null id stay.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap(ids.select(place(F.col("_gone")))))
-    at = F.coalesce(place(F.col("doc_id").cast("long")), F.lit(-1))
-    placed = docs.select("*", at.alias("_place"))
+    gone = ids.select(F.col(ids.columns[0]).alias("gone")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(place(F.col("gone")))))
+    # The row travels as one column, so that no name can clash.
+    doc_id = F.col("doc_id").cast("long")
+    placed = docs.select(F.struct("*").alias("row"), doc_id.alias("id"), F.coalesce(place(doc_id), F.lit(-1)).alias("at"))
 
     def rows(hit: bool) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                places = batch.column("_place").to_numpy()
+                places = batch.column("at").to_numpy()
                 met = hits(shared.value, np.maximum(places, 0)) & (places >= 0)
-                yield batch.filter(pa.array(met == hit)).drop_columns(["_place"])
+                yield batch.filter(pa.array(met == hit))
 
-        return placed.mapInArrow(task, docs.schema)
+        return placed.mapInArrow(task, placed.schema)
 
-    doubtful = rows(True).join(ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return rows(False).unionByName(doubtful)
+    doubtful = rows(True).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return rows(False).unionByName(doubtful).select("row.*")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bitmaps import bitmap, hits, place
+from .bitmaps import bitmap, hits, without_ids
 from .frames import arrow_rows, map_arrow, stored
 from .shingles import rolled, word_hashes, words_of
 
@@ -106,5 +106,5 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = CONTAINED) -> DataFrame:
     """``docs`` without the documents that hold an item; rows with a null id stay."""
-    found = contained_items(docs, items, width, percent).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(stored(found, "leaked"), F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    found = stored(contained_items(docs, items, width, percent).select("doc_id").distinct(), "leaked")
+    return without_ids(docs, found)

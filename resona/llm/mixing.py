@@ -99,9 +99,13 @@ def rates(rows: DataFrame, plan: DataFrame, preference: str | None) -> DataFrame
         plan = new.drop("changed")
 
 
+def liking(column: str) -> Column:
+    return F.greatest(F.coalesce(F.col(column).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
 def mixing_plan(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> DataFrame:
     """One row per source: ``source, source_size, target, per_unit`` and the last place ``cut`` in its order that is taken."""
-    p = F.lit(1.0) if preference is None else F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(0.0)), F.lit(0.0))
+    p = F.lit(1.0) if preference is None else liking(f"`{preference}`")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), p.alias("p"))
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -134,41 +138,37 @@ def mixing_plan(docs: DataFrame, seed: int = SEED, preference: str | None = None
 
 
 def mixed_copies(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, in columns that start with ``mix_``.
+    """Every row of ``docs`` as a struct ``row``, with ``size``, ``source_size``, ``target`` and ``copies``.
 
     Sizes are words; a null text has none. A null source is a source of its own, the last by name. A source's
-    taken words (copies times size) differ from its target by half a document at most, unless the target lies
-    beyond what MOST_COPIES allow, which it never does. ``preference`` names a column of relative weights of the documents of one source
-    (null and negative: 0); without it all are equal. Copies depend on seed, id, source and size only: equal rows get equal
-    copies, and if rows with one id, source and size are on the cut-off they are taken together. An empty table gives an empty one.
+    taken words (copies times size) differ from its target by half a document at most. ``preference`` names a
+    column of relative weights of the documents of one source (null and negative: 0); without it all are equal.
+    Copies depend on seed, id, source and size only: equal rows get equal copies, and rows with one id, source and size on the
+    cut-off are taken together. An empty table gives an empty one, further columns may have any names.
     """
     plan = stored(mixing_plan(docs, seed, preference), "mix-plan")
-    plan = plan.select(F.col("source").alias("_source"), F.struct("source_size", "target", "per_unit", "cut").alias("_plan"))
-    met = docs.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    size = word_count(F.col("text"))
-    p = F.lit(1.0) if preference is None else F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(0.0)), F.lit(0.0))
-    rate = F.least(F.lit(float(MOST_COPIES)), F.col("_plan.per_unit") * p)
+    plan = plan.select(F.col("source").alias("name"), F.struct("source_size", "target", "per_unit", "cut").alias("plan"))
+    p = F.lit(1.0) if preference is None else liking(f"row.`{preference}`")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source")
+    met = rows.join(plan, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("size", word_count(F.col("row.text")))
+    rate = F.least(F.lit(float(MOST_COPIES)), F.col("plan.per_unit") * p)
     whole = F.floor(rate)
     chance = rate - whole
     odds = F.when(chance > 0, random_odds(seed) * (1 - chance) / chance)
-    spot = F.struct(odds.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.col("mix_size").alias("size"))
-    out = met.withColumn("mix_size", size)
-    more = F.coalesce((chance > 0) & (spot <= F.col("_plan.cut")), F.lit(False)).cast("long")
-    out = out.withColumn("mix_copies", whole + more)
-    return out.withColumns({"mix_source_size": F.col("_plan.source_size"), "mix_target": F.col("_plan.target")}).drop("_plan")
+    more = (chance > 0) & (F.struct(odds.alias("q"), "doc_id", "size") <= F.col("plan.cut"))
+    copies = whole + F.coalesce(more, F.lit(False)).cast("long")
+    return met.select("row", "size", "plan.source_size", "plan.target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    copies = mixed_copies(docs, seed, preference).filter("mix_copies > 0")
-    repeated = copies.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy"))
-    return repeated.drop("mix_copy")
+    copies = mixed_copies(docs, seed, preference).filter("copies > 0")
+    repeated = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return copies.select("row", repeated.alias("copy")).select("row.*")
 
 
 def mixed_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)`` per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return mixed_copies(rows, seed).select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
-        (F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.col("mix_copies").alias("copies"),
-    )
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed_copies(rows, seed).select("row.doc_id", "size", "source_size", "target", taken, "copies")

@@ -188,9 +188,10 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
     train = stats.filter("NOT held_out AND doc_id IS NOT NULL").join(marks, "doc_id").select("doc_id", "stats", "y")
     train = stored(train, "quality-train")
     vector = array_to_vector("stats")
-    first = train.agg(Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("spread"), F.avg("y").alias("y")).first()
-    if first["y"] is None or first["y"] in (0.0, 1.0):
-        return QualityModel(None, None, np.zeros(1), np.array([0.5 if first["y"] is None else first["y"]]))
+    share = train.agg(F.avg("y")).first()[0]
+    if share is None or share in (0.0, 1.0):
+        return QualityModel(None, None, np.zeros(1), np.array([0.5 if share is None else share]))
+    first = train.agg(Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("spread")).first()
     features = FourierMap(first["mean"].toArray(), first["spread"].toArray())
     calibrating = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
     matrix, target, n = normal_equations(train.filter(~calibrating), features)

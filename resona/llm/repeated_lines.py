@@ -138,8 +138,9 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated line runs deleted from ``text``."""
-    gone = removed_lines(docs, least_words).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("removed").alias("_removed"))
-    met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return met.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = removed_lines(docs, least_words).filter("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("t").alias("hash"), "removed")
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name can clash
+    met = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash")), "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return met.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -257,5 +257,5 @@ def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     twice = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice.withColumnRenamed("doc_id", "_twice"), F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
+    again = kept.join(twice, kept["doc_id"].cast("long") == twice["doc_id"], "left_semi")
     return without_ids(kept, twice).unionByName(again.dropDuplicates())

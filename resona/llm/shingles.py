@@ -34,8 +34,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     except KeyError:
         if len(_words) > KNOWN:
             _words = {}
-        for word in set(words) - _words.keys():
-            _words[word] = xxhash.xxh3_64_intdigest(word)
+        # Not a set difference with the keys: that walks the whole table.
+        for word in set(words):
+            if word not in _words:
+                _words[word] = xxhash.xxh3_64_intdigest(word)
         return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 

@@ -143,7 +143,7 @@ class MergeCounter:
         wanted = set().union(*cuts)
         if len(self.pieces) + len(wanted) > KNOWN:
             self.pieces = {}
-        missing = wanted - self.pieces.keys()
+        missing = [p for p in wanted if p not in self.pieces]
         if missing:
             self.learn({p: self.split(p) for p in missing})
         get = self.pieces.__getitem__

@@ -50,9 +50,10 @@ class Recent:
         """What of ``wanted`` is in neither table; the rest is in the younger one afterwards."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        lacking = wanted - self.young.keys()
-        back = lacking & self.old.keys()
-        self.young.update((k, self.old[k]) for k in back)
+        young, old = self.young, self.old
+        lacking = {w for w in wanted if w not in young}
+        back = {w for w in lacking if w in old}
+        young.update((w, old[w]) for w in back)
         return lacking - back
 
 
