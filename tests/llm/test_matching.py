@@ -70,7 +70,7 @@ def test_bands_hold_all_partners():
                 differ = (a + b) * (100 - percent) // (100 + percent)
                 if differ and 100 * a >= percent * b:
                     shared = {c: m for c, m in bands.cells(a)}.items() & {c: m for c, m in bands.cells(b)}.items()
-                    assert shared and all(m > differ for _, m in list(shared)[-1:])
+                    assert any(m > differ for _, m in shared)
 
 
 def test_no_group_is_expanded(spark):
@@ -140,7 +140,7 @@ def test_fingerprints(docs, rows, parts):
     assert ordered(found, "doc_id", "n_chars", "edited_sha256") == sorted(wanted, key=key)
     by_id = {r["doc_id"]: r for r in found.collect()}
     assert by_id[1]["fingerprint"] == by_id[2]["fingerprint"] and by_id[5]["fingerprint"] == by_id[6]["fingerprint"] == ""
-    assert by_id[3]["near_next"] == 1.0  # the next one is its copy with another id
+    assert by_id[2]["near_next"] == 1.0  # the next one is its copy with another id
     exact = {i: lz_phrases(t) for i, t in ranked}
     for i, after in ((101, 100), (12, 11)):
         share = len(exact[i] & exact[after]) / len(exact[i] | exact[after])
