@@ -55,38 +55,35 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as nested post records; their lines give the counters, two comments and the images."""
+    """Orders as nested post records; each of their lines is a comment and an image."""
+    line = F.struct("l_linenumber", "l_shipdate", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("quantity"),
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),
         F.count_if(F.col("l_discount") > 0.05).alias("discounted"),
-        F.min("l_shipdate").alias("first_ship"),
-        F.max("l_shipdate").alias("last_ship"),
-        F.min("l_quantity").alias("low"),
-        F.max("l_quantity").alias("high"),
         F.min("l_suppkey").alias("first_supplier"),
-        F.max("l_suppkey").alias("last_supplier"),
+        F.sort_array(F.collect_list(line)).alias("items"),  # the lines of one order
     )
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     joined = lookup(orders, customers(spark, sf_dir), "c_custkey")
     joined = joined.join(lines, joined.o_orderkey == lines.l_orderkey, "left")
-
-    def comment(suffix: str, text: str, ship: str, likes: str, supplier: str) -> Column:
-        user = F.struct(F.col(supplier).cast("string").alias("id"), F.col("region").alias("region"))
-        record = F.struct(
-            F.concat("video_id", F.lit(suffix)).alias("id"),
-            F.col(text).alias("text"),
-            _epoch_text(F.col(ship)).alias("create_time"),
-            F.col(likes).cast("string").alias("digg_count"),
-            user.alias("user"),
+    joined = joined.withColumns({"video_id": F.col("o_orderkey").cast("string"), "region": F.col("n_name")})
+    items = F.coalesce("items", F.array().cast(lines.schema["items"].dataType))
+
+    def comment(item: Column, i: Column) -> Column:
+        return F.struct(
+            F.concat_ws("-", "video_id", i.cast("string")).alias("id"),
+            F.concat(item["l_returnflag"], item["l_linestatus"]).alias("text"),
+            _epoch_text(item["l_shipdate"]).alias("create_time"),
+            item["l_quantity"].cast("string").alias("digg_count"),
+            F.struct(item["l_suppkey"].cast("string").alias("id"), F.col("region").alias("region")).alias("user"),
         )
-        return F.when(F.col("l_orderkey").isNotNull(), record)
 
-    def day(ship: str) -> Column:
-        return F.date_format(F.col(ship), "yyyy-MM-dd")
+    def image(item: Column) -> Column:
+        """The day of the line; lines with a high discount have none."""
+        return F.when(item["l_discount"] <= 0.08, F.date_format(item["l_shipdate"], "yyyy-MM-dd"))
 
-    joined = joined.withColumns({"video_id": F.col("o_orderkey").cast("string"), "region": F.col("n_name")})
     return joined.select(
         "video_id",
         F.concat(F.lit("#"), "c_mktsegment", F.lit(" #"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit(" "), "o_orderpriority").alias("title"),
@@ -105,11 +102,8 @@ def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("author"),
         F.struct(F.col("o_orderstatus").alias("id"), F.col("o_orderpriority").alias("title")).alias("music_info"),
         F.struct((F.col("o_orderstatus") == "O").alias("adv_promotable")).alias("commerce_info"),
-        F.array(day("first_ship"), F.lit(None).cast("string"), day("last_ship")).alias("images"),
-        F.array(
-            comment("-a", "o_orderpriority", "first_ship", "low", "first_supplier"),
-            comment("-b", "o_orderstatus", "last_ship", "high", "last_supplier"),
-        ).alias("comments"),
+        F.transform(items, image).alias("images"),
+        F.transform(items, comment).alias("comments"),
         "first_supplier",
     )
 
@@ -204,26 +198,46 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def followers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer follows the supplier of most of its lines and its nation."""
-    people = customers(spark, sf_dir)
-    account = F.struct(
+def _account() -> Column:
+    return F.struct(
         F.concat(F.lit("c"), "c_custkey").alias("id"),
         F.col("c_name").alias("unique_id"),
         F.col("c_mktsegment").alias("nickname"),
         F.col("n_name").alias("region"),
     )
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+
+
+def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct pair of supplier and buyer."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey")
-    counted = lines.groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.min_by("l_suppkey", F.struct(-F.col("n"), F.col("l_suppkey"))).alias("supplier")
-    )
-    of_supplier = people.join(main, "c_custkey").select(
-        F.concat(F.lit("s"), "supplier").alias("author_id"), F.array(account).alias("record")
+    return lines.select("l_suppkey", "c_custkey").distinct()
+
+
+def _of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = customers(spark, sf_dir)
+    return people.select(F.concat(F.lit("n"), "c_nationkey").alias("author_id"), F.array(_account()).alias("record"))
+
+
+def followers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer follows every supplier it buys from, and its nation."""
+    met = lookup(_bought(spark, sf_dir), customers(spark, sf_dir), "c_custkey")
+    of_supplier = met.select(F.concat(F.lit("s"), "l_suppkey").alias("author_id"), F.array(_account()).alias("record"))
+    return of_supplier.unionByName(_of_nation(spark, sf_dir))
+
+
+def market_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier is followed by every nation that buys from it, a nation by its customers.
+
+    All lines count, but the graph stays small: centrality needs all pairs of its vertices.
+    """
+    people = customers(spark, sf_dir).select("c_custkey", "c_nationkey", "n_name")
+    pairs = _bought(spark, sf_dir).join(people, "c_custkey").select("l_suppkey", "c_nationkey", "n_name").distinct()
+    nation = F.struct(
+        F.concat(F.lit("n"), "c_nationkey").alias("id"), F.col("n_name").alias("unique_id"), F.lit("nation").alias("nickname"), F.col("n_name").alias("region")
     )
-    of_nation = people.select(F.concat(F.lit("n"), "c_nationkey").alias("author_id"), F.array(account).alias("record"))
-    return of_supplier.unionByName(of_nation)
+    of_supplier = pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("author_id"), F.array(nation).alias("record"))
+    return of_supplier.unionByName(_of_nation(spark, sf_dir))
 
 
 def followings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,9 +249,9 @@ def followings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as posts of the first of their suppliers."""
-    raw = posts_raw(spark, sf_dir).filter("first_supplier IS NOT NULL")
-    author = F.concat(F.lit("s"), F.col("first_supplier"))
+    """Orders as posts of the first of their suppliers; those without lines count for supplier 0."""
+    raw = posts_raw(spark, sf_dir)
+    author = F.concat(F.lit("s"), F.coalesce("first_supplier", F.lit(0).cast("long")).cast("string"))
     return raw.select("video_id", author.alias("author_id"), author.alias("author_unique_id"), F.col("region").alias("author_nickname"))
 
 

@@ -61,8 +61,7 @@ lines AS (
   SELECT l_orderkey, sum(l_quantity) AS quantity, CAST(count(*) AS DOUBLE) AS lines,
     CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS returned,
     CAST(count(*) FILTER (l_discount > 0.05) AS DOUBLE) AS discounted,
-    min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, min(l_quantity) AS low, max(l_quantity) AS high,
-    min(l_suppkey) AS first_supplier, max(l_suppkey) AS last_supplier
+    min(l_suppkey) AS first_supplier
   FROM lineitem GROUP BY l_orderkey),
 source AS (
   SELECT *, CAST(o_orderkey AS VARCHAR) AS video_id, n_name AS region,
@@ -82,13 +81,15 @@ posts AS (
   FROM counts),
 hashtags AS (
   SELECT DISTINCT video_id, lower(unnest(regexp_extract_all(title, '#[\\p{L}\\p{N}_]+'))) AS hashtag FROM source),
+items AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_suppkey, l_quantity) - 1 AS i,
+    CASE WHEN l_discount <= 0.08 THEN strftime(l_shipdate, '%Y-%m-%d') END AS day FROM lineitem),
 comments AS (
-  SELECT video_id, video_id || '-a' AS comment_id, o_orderpriority AS text, low AS digg_count, first_ship AS comment_ts, ts, first_supplier AS supplier, region FROM source WHERE l_orderkey IS NOT NULL
-  UNION ALL
-  SELECT video_id, video_id || '-b', o_orderstatus, high, last_ship, ts, last_supplier, region FROM source WHERE l_orderkey IS NOT NULL),
+  SELECT video_id, video_id || '-' || i AS comment_id, l_returnflag || l_linestatus AS text, l_quantity AS digg_count, l_shipdate AS comment_ts, ts,
+    l_suppkey AS supplier, region FROM source s JOIN items USING (l_orderkey)),
 images AS (
-  SELECT video_id, strftime(first_ship, '%Y-%m-%d') AS image_url, CAST(1 AS INTEGER) AS image_idx FROM source WHERE l_orderkey IS NOT NULL
-  UNION ALL SELECT video_id, strftime(last_ship, '%Y-%m-%d'), 2 FROM source WHERE l_orderkey IS NOT NULL),
+  SELECT video_id, day AS image_url, CAST(row_number() OVER (PARTITION BY video_id ORDER BY i) AS INTEGER) AS image_idx
+  FROM source s JOIN items USING (l_orderkey) WHERE day IS NOT NULL),
 post_metrics AS (
   SELECT p.*, coalesce(h.n, 0) AS n_hashtags, coalesce(i.n, 0) AS n_images, coalesce(c.n, 0) AS n_comments_captured,
     coalesce(c.likes, 0.0) AS avg_comment_diggs
@@ -130,14 +131,14 @@ author_history AS (
 
 NETWORK = """
 people AS (SELECT *, 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey),
-favourite AS (
-  SELECT o_custkey, l_suppkey FROM (
-    SELECT o_custkey, l_suppkey, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, l_suppkey) AS r
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE r = 1),
-followers AS (
+bought AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+of_nation AS (SELECT 'n' || c_nationkey AS author_id, id AS follower_id, c_name AS follower_unique_id, c_mktsegment AS follower_nickname, n_name AS follower_region FROM people),
+every_follower AS (
   SELECT 's' || l_suppkey AS author_id, id AS follower_id, c_name AS follower_unique_id, c_mktsegment AS follower_nickname, n_name AS follower_region
-  FROM people JOIN favourite ON c_custkey = o_custkey
-  UNION ALL SELECT 'n' || c_nationkey, id, c_name, c_mktsegment, n_name FROM people),
+  FROM people JOIN bought ON c_custkey = o_custkey UNION ALL SELECT * FROM of_nation),
+followers AS (
+  SELECT DISTINCT 's' || l_suppkey AS author_id, 'n' || c_nationkey AS follower_id, n_name AS follower_unique_id, 'nation' AS follower_nickname, n_name AS follower_region
+  FROM people JOIN bought ON c_custkey = o_custkey UNION ALL SELECT * FROM of_nation),
 followings AS (SELECT 's' || s_suppkey AS author_id, 'n' || s_nationkey AS followed_id FROM supplier),
 edges AS (
   SELECT DISTINCT least(author_id, other) AS src, greatest(author_id, other) AS dst
@@ -259,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "post_metrics": f"""WITH {POSTS} SELECT video_id, eng_total, n_hashtags, n_images, n_comments_captured,
   round(avg_comment_diggs, 6) AS avg_comment_diggs FROM post_metrics""",
         "json_export": f"""WITH {POSTS} SELECT video_id, '{{"id":"' || o_custkey || '","unique_id":"' || c_name || '","nickname":"' || c_mktsegment || '"}}' AS author,
-  CASE WHEN l_orderkey IS NULL THEN '[null,null,null]' ELSE '["' || strftime(first_ship, '%Y-%m-%d') || '",null,"' || strftime(last_ship, '%Y-%m-%d') || '"]' END AS images,
+  '[' || coalesce((SELECT string_agg(coalesce('"' || day || '"', 'null'), ',' ORDER BY i) FROM items WHERE items.l_orderkey = posts.l_orderkey), '') || ']' AS images,
   '{{"adv_promotable":' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END || '}}' AS commerce_info FROM posts""",
         "csv_round_trip": "SELECT page_id, url, html FROM pages",
         "authors": f"WITH {AUTHORS} SELECT * FROM authors",
@@ -274,9 +275,9 @@ def oracle_sql() -> dict[str, str]:
         "authorpost_metrics": f"""WITH {ACTIVITY} SELECT * REPLACE (round(posts_per_month, 6) AS posts_per_month, round(avg_play, 6) AS avg_play,
   round(avg_digg, 6) AS avg_digg, round(avg_comment, 6) AS avg_comment, round(avg_share, 6) AS avg_share, round(avg_collect, 6) AS avg_collect,
   round(eng_per_1k_views_mean, 6) AS eng_per_1k_views_mean) FROM author_history""",
-        "network_edges": f"WITH {NETWORK} SELECT * FROM followers",
+        "network_edges": f"WITH {NETWORK} SELECT * FROM every_follower",
         "network_region_metrics": f"""WITH {NETWORK}, regions AS (SELECT author_id, follower_region, count(*) AS n,
-    row_number() OVER (PARTITION BY author_id ORDER BY count(*) DESC, follower_region) AS r FROM followers GROUP BY 1, 2)
+    row_number() OVER (PARTITION BY author_id ORDER BY count(*) DESC, follower_region) AS r FROM every_follower GROUP BY 1, 2)
   SELECT author_id, CAST(sum(n) AS BIGINT) AS captured, count(*) AS distinct_regions, max(follower_region) FILTER (r = 1) AS top_region,
     max(n) AS top_region_count FROM regions GROUP BY 1""",
         "creator_leverage": f"""WITH {AUTHORS}, {ACTIVITY} SELECT CAST(o_orderkey AS VARCHAR) AS video_id, CAST(o_custkey AS VARCHAR) AS author_id,
@@ -298,7 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "creator_bridge": f"""WITH RECURSIVE {POSTS}, {NETWORK}, {betweenness_sql()},
 reach(id, low) AS (SELECT id, id FROM vertices UNION SELECT b, low FROM reach JOIN arcs ON id = a WHERE low < b),
 component AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id),
-base AS (SELECT video_id, 's' || first_supplier AS author_id, eng_per_1k_views FROM posts WHERE first_supplier IS NOT NULL),
+base AS (SELECT video_id, 's' || coalesce(first_supplier, 0) AS author_id, eng_per_1k_views FROM posts),
 nodes AS (SELECT component_id, count(*) AS component_nodes FROM component GROUP BY 1),
 joined AS (SELECT video_id, author_id, coalesce(degree, 0) AS network_degree, betweenness AS network_betweenness, component_id, component_nodes,
     coalesce(fs.n, 0) AS captured_followers, coalesce(fg.n, 0) AS captured_followings, CAST(floor(abs(s_acctbal)) AS BIGINT) AS "stats_followerCount", eng_per_1k_views
@@ -403,8 +404,8 @@ SELECT lang, string_agg(term, ', ' ORDER BY r) FILTER (r <= 8) AS cluster_terms,
   UNION ALL SELECT 'authors', (SELECT count(*) FROM customer), 8 UNION ALL SELECT 'author_metrics', (SELECT count(*) FROM customer), 9
   UNION ALL SELECT 'authorposts', (SELECT count(*) FROM orders), 18 UNION ALL SELECT 'authorfavorites', (SELECT count(*) FROM orders), 18
   UNION ALL SELECT 'authorpost_metrics', (SELECT count(DISTINCT o_custkey) FROM orders), 15
-  UNION ALL SELECT 'authorfollowers', (SELECT count(*) FROM followers), 5 UNION ALL SELECT 'authorfollowings', (SELECT count(*) FROM followings), 3
-  UNION ALL SELECT 'authorfollowers_metrics', (SELECT count(DISTINCT author_id) FROM followers), 5
+  UNION ALL SELECT 'authorfollowers', (SELECT count(*) FROM every_follower), 5 UNION ALL SELECT 'authorfollowings', (SELECT count(*) FROM followings), 3
+  UNION ALL SELECT 'authorfollowers_metrics', (SELECT count(DISTINCT author_id) FROM every_follower), 5
   UNION ALL SELECT 'authorfollowings_metrics', (SELECT count(*) FROM supplier), 5)""",
     }
     for name, column, condition in (

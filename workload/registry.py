@@ -180,7 +180,7 @@ def q_creator_leverage(spark, d):
 
 # --- graph ------------------------------------------------------------------------------------
 def network(spark, d):
-    followers = core.network_edges(a.followers_raw(spark, d), "follower")
+    followers = core.network_edges(a.market_raw(spark, d), "follower")
     followings = core.network_edges(a.followings_raw(spark, d), "followed")
     return followers, followings
 
