@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -10,6 +11,10 @@ from . import rulesets
 from .rules import NOT_SPACE, SPACE, WORD, first_label, jvm_pattern
 
 
+# The alternatives of a heading, where a pattern starts with a bold line that holds one of them.
+HEADINGS = re.compile(r"\\\*\\\*\.\*\?(?:\(\?:)?([a-z |]+)\)?\.\*\?")
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any script at both ends."""
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
@@ -39,7 +44,17 @@ def section(text: Column, pattern: str) -> Column:
     compiled = jvm_pattern(pattern, "isud")
     # The long text is searched once; the group is then read from the passage found.
     passage = F.regexp_extract(text, compiled, 0)
-    return F.when(passage != "", strip(F.regexp_extract(passage, compiled, 1)))
+    found = F.when(passage != "", strip(F.regexp_extract(passage, compiled, 1)))
+    headings = HEADINGS.match(pattern)
+    if not headings:
+        return found
+    # Most headings are absent, and a plain search for them is much cheaper than the pattern. The two
+    # letters that ignore-case equates with s and k are left to the pattern.
+    lowered = F.lower(text)
+    possible = lowered.contains("\u017f") | text.contains("\u212a")
+    for heading in headings.group(1).split("|"):
+        possible = possible | lowered.contains(heading)
+    return F.when(possible, found)
 
 
 def sections(text: Column, patterns: Mapping[str, str] = rulesets.SECTION_PATTERNS) -> list[Column]:
@@ -47,7 +62,11 @@ def sections(text: Column, patterns: Mapping[str, str] = rulesets.SECTION_PATTER
 
 
 def _count_tokens(text: Column, words: Collection[str]) -> Column:
-    alternatives = "|".join(sorted(words, key=len, reverse=True))
+    # Only runs of a-z and ' can equal a token; other entries match nothing, as does an empty list.
+    tokens = sorted((w for w in words if re.fullmatch("[a-z']+", w)), key=len, reverse=True)
+    if not tokens:
+        return F.lit(0)
+    alternatives = "|".join(tokens)
     return F.regexp_count(text, F.lit(rf"(?<![a-z'])(?:{alternatives})(?![a-z'])"))
 
 

@@ -1,10 +1,8 @@
 """Exact grouped medians, also for groups too large for one task.
 
-The built-in median keeps all distinct values of a group in one task's memory. That is the fastest
-way while every group is small, which one light count per group tells. Beyond that the rows are
+The built-in median keeps all distinct values of a group in one task's memory. Here the rows are
 reduced to (group, value, count), the values are cut into order-preserving buckets, the bucket that
-holds the middle rank is found from the bucket totals, and only that bucket is sorted. Both ways
-are exact.
+holds the middle rank is found from the bucket totals, and only that bucket is sorted.
 """
 
 from __future__ import annotations
@@ -13,19 +11,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
 from .buckets import place_values
 from .skew import join_groups
 
 
-# Largest group whose distinct values one task may hold.
-SMALL_GROUP = 500_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
 def split_medians(df: DataFrame, keys: Sequence[str], medians: Mapping[str, str]) -> DataFrame:
     """One row per group with the exact median of each column (``{output: column}``), nulls skipped.
 
@@ -77,13 +67,14 @@ def summarise(
     keys: Sequence[str],
     aggregates: Sequence[Column],
     medians: Mapping[str, str] | None = None,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Grouped aggregates (null is a group of its own) plus exact medians of further columns."""
+    """Grouped aggregates (null is a group of its own) plus exact medians of further columns.
+
+    With medians the rows are written once and read by both; callers select the columns they need.
+    """
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
-    if largest_group(df, keys) <= small_group:
-        return df.groupBy(*keys).agg(*aggregates, *[F.median(c).alias(n) for n, c in medians.items()])
+    df = stored(df, "grouped-rows")
     return join_groups(df.groupBy(*keys).agg(*aggregates), split_medians(df, keys, medians), keys)
 
 

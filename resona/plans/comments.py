@@ -10,10 +10,12 @@ from ..functions import rulesets
 from ..functions.text import clean_text, comment_intent, emotion_label, sentiment_label, sentiment_score
 from ..operators.medians import summarise
 from ..operators.nesting import keep_present
-from .rollups import descending
+from ..session import stored
+from .rollups import descending, empty_table, lacks
 
 EARLY_MINUTES = 60
 POST_COLUMNS = ("video_id", "title", "play_count", "comment_count", "share_count", "eng_per_1k_views")
+LABELLED_COLUMNS = ("video_id", "comment_id", "digg_count", "mins_since_post")
 SCORED_COLUMNS = (
     "video_id",
     "comment_id",
@@ -43,7 +45,7 @@ def label_intents(comments: DataFrame, rules: Mapping[str, str] = rulesets.INTEN
 
 def intent_summary(labelled: DataFrame) -> DataFrame:
     return summarise(
-        labelled,
+        keep_present(labelled, ("rough_intent", "comment_id", "digg_count", "mins_since_post")),
         ["rough_intent"],
         [F.count("comment_id").alias("comments"), F.avg("digg_count").alias("avg_comment_likes")],
         {"median_mins_since_post": "mins_since_post"},
@@ -77,7 +79,15 @@ def post_intents(labelled: DataFrame, post_metrics: DataFrame) -> DataFrame:
 def comment_intent_tables(
     comments: DataFrame, post_metrics: DataFrame, rules: Mapping[str, str] = rulesets.INTENT_RULES
 ) -> dict[str, DataFrame]:
-    labelled = label_intents(comments, rules)
+    if lacks(comments, "text"):
+        return {
+            "comment_intent_summary": empty_table(comments, "rough_intent string, comments long, avg_comment_likes double, median_mins_since_post double"),
+            "post_comment_intents": empty_table(
+                comments, "video_id string, captured_comments long, avg_comment_likes double, early_comments_60m long, top_comment_intent string"
+            ),
+        }
+    # Read by two tables: written once, without the texts.
+    labelled = stored(keep_present(label_intents(comments, rules), (*LABELLED_COLUMNS, "rough_intent")), "labelled-comments")
     return {
         "comment_intent_summary": intent_summary(labelled),
         "post_comment_intents": post_intents(labelled, post_metrics),
@@ -102,7 +112,7 @@ def score_sentiment(
 def sentiment_summary(scored: DataFrame) -> DataFrame:
     keys = ["sentiment_label", "emotion_label"]
     return summarise(
-        scored,
+        keep_present(scored, (*keys, "comment_id", "digg_count", "mins_since_post")),
         keys,
         [F.count("comment_id").alias("comments"), F.avg("digg_count").alias("avg_comment_likes")],
         {"median_mins_since_post": "mins_since_post"},
@@ -134,9 +144,22 @@ def post_sentiment(scored: DataFrame, post_metrics: DataFrame) -> DataFrame:
 def comment_sentiment_tables(
     comments: DataFrame, post_metrics: DataFrame, emotions: Mapping[str, str] = rulesets.EMOTION_RULES
 ) -> dict[str, DataFrame]:
-    scored = score_sentiment(comments, emotions)
+    if lacks(comments, "text"):
+        return {
+            "comment_sentiment_emotion": empty_table(
+                comments, "video_id string, comment_id string, sentiment_label string, sentiment_score double, emotion_label string"
+            ),
+            "comment_sentiment_summary": empty_table(
+                comments, "sentiment_label string, emotion_label string, comments long, avg_comment_likes double, median_mins_since_post double"
+            ),
+            "post_comment_sentiment": empty_table(
+                comments,
+                "video_id string, comments_scored long, avg_sentiment_score double, pct_positive double, pct_negative double, top_emotion string",
+            ),
+        }
+    scored = stored(keep_present(score_sentiment(comments, emotions), SCORED_COLUMNS), "scored-comments")
     return {
-        "comment_sentiment_emotion": keep_present(scored, SCORED_COLUMNS),
+        "comment_sentiment_emotion": scored,
         "comment_sentiment_summary": sentiment_summary(scored),
         "post_comment_sentiment": post_sentiment(scored, post_metrics),
     }

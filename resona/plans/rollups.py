@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import round_half_even
 from ..functions.rulesets import OPPORTUNITY_WEIGHTS
 from ..operators.medians import summarise, total
+from ..operators.nesting import keep_present
 from ..operators.ranks import add_percent_ranks_of_groups
+from ..session import stored
 
-METRIC_COLUMNS = (
-    "play_count",
-    "digg_count",
-    "comment_count",
-    "share_count",
-    "collect_count",
-    "eng_total",
-    "eng_per_1k_views",
-)
+SUMMED_COLUMNS = ("video_id", "play_count", "share_count", "comment_count", "eng_per_1k_views")
+
+
+def lacks(df: DataFrame, *columns: str) -> bool:
+    return not set(columns) <= set(df.columns)
+
+
+def empty_table(df: DataFrame, schema: str) -> DataFrame:
+    """What a rollup returns where its grouping column is missing."""
+    return df.sparkSession.createDataFrame([], schema)
 
 
 def _posts() -> Column:
@@ -50,10 +53,7 @@ def top_posts(post_metrics: DataFrame, min_views: float = 1000, n: int = 20) ->
 
 
 def hashtag_performance(post_metrics: DataFrame, hashtags: DataFrame) -> DataFrame:
-    present = [c for c in METRIC_COLUMNS if c in post_metrics.columns]
-    tagged = hashtags.filter("hashtag IS NOT NULL").join(
-        post_metrics.select("video_id", *present), "video_id", "left"
-    )
+    tagged = hashtags.filter("hashtag IS NOT NULL").join(keep_present(post_metrics, SUMMED_COLUMNS), "video_id", "left")
     out = summarise(
         tagged,
         ["hashtag"],
@@ -71,8 +71,13 @@ def hashtag_performance(post_metrics: DataFrame, hashtags: DataFrame) -> DataFra
 
 
 def region_performance(post_metrics: DataFrame) -> DataFrame:
+    if lacks(post_metrics, "region"):
+        return empty_table(
+            post_metrics,
+            "region string, posts long, total_views double, median_views double, total_shares double, total_comments double, median_eng_per_1k double",
+        )
     out = summarise(
-        post_metrics,
+        keep_present(post_metrics, ("region", *SUMMED_COLUMNS)),
         ["region"],
         [
             _posts(),
@@ -88,7 +93,7 @@ def region_performance(post_metrics: DataFrame) -> DataFrame:
 
 
 def content_type_performance(post_metrics: DataFrame, summaries: DataFrame) -> DataFrame:
-    typed = post_metrics.drop("content_type").join(
+    typed = keep_present(post_metrics, SUMMED_COLUMNS).join(
         summaries.select("video_id", "content_type"), "video_id", "left"
     )
     out = summarise(
@@ -104,8 +109,14 @@ def content_type_performance(post_metrics: DataFrame, summaries: DataFrame) -> D
 
 def theme_performance(posts_enriched: DataFrame) -> DataFrame:
     keys = ["primary_theme", "action_frame", "mood_label"]
+    if lacks(posts_enriched, *keys):
+        return empty_table(
+            posts_enriched,
+            "primary_theme string, action_frame string, mood_label string, posts long, median_views double, "
+            "median_eng_per_1k double, mean_shares double, mean_comments double, total_shares double",
+        )
     out = summarise(
-        posts_enriched,
+        keep_present(posts_enriched, (*keys, *SUMMED_COLUMNS)),
         keys,
         [
             _posts(),
@@ -129,8 +140,15 @@ def with_enough_views(posts: DataFrame, min_views: float) -> DataFrame:
 def messaging_recommendations(posts_enriched: DataFrame, min_views: float = 1000) -> DataFrame:
     """Message combinations by a blend of three percent ranks of their medians."""
     keys = ["primary_theme", "action_frame", "content_type"]
+    if lacks(posts_enriched, *keys):
+        return empty_table(
+            posts_enriched,
+            "primary_theme string, action_frame string, content_type string, posts long, median_views double, median_eng_per_1k double, "
+            "median_shares double, views_rank_pct double, eng_rank_pct double, share_rank_pct double, opportunity_score double",
+        )
+    narrow = stored(keep_present(posts_enriched, (*keys, *SUMMED_COLUMNS)), "enriched-rows")
     grouped = summarise(
-        with_enough_views(posts_enriched, min_views),
+        with_enough_views(narrow, min_views),
         keys,
         [_posts()],
         {"median_views": "play_count", "median_eng_per_1k": "eng_per_1k_views", "median_shares": "share_count"},

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +24,14 @@ def build_session(app: str = "resona", master: str | None = None, **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a temporary folder of its own.
-    """
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``, else one below its warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="resona-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 

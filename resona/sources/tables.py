@@ -22,11 +22,16 @@ def _check_format(fmt: str) -> str:
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: str | StructType | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: str | StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
+    """A stored table. ``multi_line`` reads CSV values with line breaks; such files can't be split."""
     reader = spark.read.format(_check_format(fmt))
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, multiLine=multi_line, escape='"')
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)

@@ -280,7 +280,7 @@ def test_csv_keeps_quotes_and_line_breaks(spark):
     df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, None)], "i INT, t STRING")
     path = fresh_path(spark, "csv")
     assert tables.write_table(df, path, "csv") == (2, 2)
-    assert records(tables.read_table(spark, path, "csv", df.schema)) == [(1, 'a "b", c\nd'), (2, None)]
+    assert records(tables.read_table(spark, path, "csv", df.schema, multi_line=True)) == [(1, 'a "b", c\nd'), (2, None)]
 
 
 # --- streaming --------------------------------------------------------------------------------

@@ -129,7 +129,7 @@ def q_csv_round_trip(spark, d):
     path = fresh_path(spark, "csv")
     pages = a.table(spark, d, "pages")
     write_table(pages, path, "csv")
-    return read_table(spark, path, "csv", pages.schema)
+    return read_table(spark, path, "csv", pages.schema, multi_line=True)
 
 
 # --- authors and network ----------------------------------------------------------------------
