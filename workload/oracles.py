@@ -385,6 +385,14 @@ SELECT lang, string_agg(term, ', ' ORDER BY r) FILTER (r <= 8) AS cluster_terms,
   round(median(play_count), 6) AS median_views, coalesce(sum(play_count), 0) AS total_views, round(median(eng_per_1k_views), 6) AS median_eng_per_1k,
   coalesce(sum(share_count), 0) AS total_shares, coalesce(sum(comment_count), 0) AS total_comments
   FROM summaries s LEFT JOIN posts USING (video_id) GROUP BY 1, 2""",
+        "semantic_cluster_checks": f"""WITH {POSTS}, {SUMMARIES}, kept AS (SELECT video_id FROM summaries WHERE length({clean('semantic_text')}) > 20)
+  SELECT count(*) AS docs, count(DISTINCT video_id) AS distinct_docs, CAST(0 AS BIGINT) AS surplus_representatives, count(DISTINCT video_id) AS posts,
+    sum(coalesce(play_count, 0)) AS total_views FROM kept LEFT JOIN posts USING (video_id)""",
+        "cluster_counts": """WITH sizes AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY 1),
+counts AS (SELECT *, CAST(CASE WHEN n_docs < 4 THEN greatest(1, n_docs) ELSE least(8, greatest(2, round_even(sqrt(n_docs), 0))) END AS INTEGER) AS clusters FROM sizes),
+tries AS (SELECT *, CAST(greatest(0, least(clusters + 2, n_docs) - 2) AS INTEGER) AS tried FROM counts)
+SELECT lang, n_docs, clusters, tried, CAST(CASE WHEN tried > 0 THEN tried + 1 ELSE 0 END AS INTEGER) AS most FROM tries""",
+        "cluster_text": f"""SELECT doc_id, {clean("coalesce(text, '') || ' ' || coalesce(' see www.x.org/a ' || source, '')")} AS cluster_text FROM documents""",
         "snapshot": f"""WITH {POSTS}, {ENRICHED} SELECT video_id, strftime(ts, '%Y-%m-%d') AS date, region, content_type, primary_theme, action_frame, mood_label,
   play_count, share_count, comment_count, round(eng_per_1k_views, 6) AS eng_per_1k_views FROM enriched""",
         "totals": f"""WITH {POSTS} SELECT count(*) AS posts, CAST(sum(n_comments_captured) AS BIGINT) AS captured_comments,

@@ -408,13 +408,43 @@ def q_cluster_terms(spark, d):
 
 def semantic(spark, d):
     texts = a.summaries(spark, d).drop("lang")
-    return clusters.semantic_clusters(texts, posts(spark, d), restarts=1)
+    return clusters.semantic_clusters(texts, posts(spark, d))
 
 
 def q_semantic_clusters(spark, d):
     return semantic(spark, d)["semantic_clusters"]
 
 
+def q_semantic_cluster_checks(spark, d):
+    """What holds for any clustering: documents kept, one representative per cluster, totals over all clusters."""
+    tables = semantic(spark, d)
+    found = stored(tables["semantic_clusters"].select("video_id", "cluster_id", "is_cluster_representative"), "clusters")
+    kept = found.agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.count_distinct("video_id").alias("distinct_docs"),
+        (F.count_if("is_cluster_representative") - F.count_distinct("cluster_id")).alias("surplus_representatives"),
+    )
+    sums = tables["semantic_cluster_performance"].agg(F.sum("posts").alias("posts"), F.sum("total_views").alias("total_views"))
+    one = F.lit(1)
+    return kept.withColumn("_one", one).join(sums.withColumn("_one", one), "_one").drop("_one")
+
+
+def q_cluster_counts(spark, d):
+    """Numbers of clusters for the documents of each language."""
+    sizes = a.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
+    rows = []
+    for lang, n in sizes:
+        tried = topics.cluster_counts_to_try(n)
+        rows.append((lang, n, topics.auto_cluster_count(n), len(tried), max(tried, default=0)))
+    return spark.createDataFrame(rows, "lang string, n_docs long, clusters int, tried int, most int")
+
+
+def q_cluster_text(spark, d):
+    """Cleaned cluster texts of documents with two text columns."""
+    docs = a.texts(spark, d, "documents").select("doc_id", F.col("text").alias("summary_text"), F.concat(F.lit(" see www.x.org/a "), "source").alias("title"))
+    return docs.select("doc_id", clusters.cluster_text(docs).alias("cluster_text"))
+
+
 def q_cluster_performance(spark, d):
     source = F.col("lang")
     given = a.summaries(spark, d).select("video_id", F.length(source).alias("cluster_id"), source.alias("cluster_name"))
