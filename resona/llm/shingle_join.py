@@ -2,8 +2,8 @@
 
 A shingle flips one bit of a document's sketch, so the sketches of two documents differ in at most as many bits
 as their sets differ in shingles. Within a band of set sizes that difference has an upper limit ``d``; cut into
-``d + 1`` slices, two sketches within the limit agree on one slice at least (pigeonhole). Equal slices give
-candidates, exact set differences verify them.
+``d + 1`` slices, two sketches within the limit agree on one slice at least (pigeonhole); a few slices more let
+empty ones, on which unrelated documents agree too, be skipped. Equal slices give candidates, exact set differences verify them.
 
 No group is expanded into pairs. Equal sets are one node. In each slice bucket one hub is compared with the
 others. Two nodes that were compared with the same hub, not both linked to it, can only be linked if their
@@ -43,14 +43,25 @@ class Bands:
         high = np.minimum(self.edges[2:] - 1, 100 * low // percent)
         self.differ = (low + high) * (100 - percent) // (100 + percent)
 
-    def cells(self, size: int) -> list[tuple[int, int]]:
-        """Cells of a set of this size with their slice counts; where sets must be equal there is no cell."""
+    def cells(self, size: int) -> list[tuple[int, int, int]]:
+        """Cells of a set of this size: number, slices, and how many of these may be empty and skipped.
+
+        With ``spare`` slices more than differences plus one, similar sets agree on ``spare + 1`` slices. So they agree on
+        a filled one, unless both have more than ``spare`` empty ones; only then those count too. Where
+        sets must be equal there is no cell.
+        """
         band = int(np.searchsorted(self.edges, size, side="right")) - 1
-        return [(c, int(self.differ[c]) + 1) for c in (band - 1, band) if c >= 0 and self.differ[c] > 0]
+        out = []
+        for cell in (band - 1, band):
+            if cell >= 0 and self.differ[cell] > 0:
+                least = int(self.differ[cell]) + 1
+                spare = 1 + int(4 * least * np.exp(-self.edges[cell] / least))
+                out.append((cell, least + spare, spare))
+        return out
 
 
-def slices(hashes: np.ndarray, count: int) -> np.ndarray:
-    """Parity words of ``count`` equal ranges of a sorted hash array: 128 bits per slice, folded to 64."""
+def slices(hashes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity words of ``count`` equal ranges of a sorted hash array (128 bits per slice, folded to 64), and which are filled."""
     steps = np.arange(1, count, dtype=np.float64) * (2.0**64 / count)
     cuts = np.r_[0, np.searchsorted(hashes, steps.astype(np.uint64))]
     filled = np.diff(np.r_[cuts, len(hashes)]) > 0
@@ -61,15 +72,17 @@ def slices(hashes: np.ndarray, count: int) -> np.ndarray:
             bits = np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
             words = np.bitwise_xor.reduceat(bits, cuts[filled])
             out[filled] ^= mixed(words + mark)
-    return out
+    return out, filled
 
 
 def slice_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """One key per (cell, slice, parity word) of a set."""
+    """One key per (cell, slice, parity word) of a set; of empty slices only if there are more than may be skipped."""
     parts = []
-    for cell, count in bands.cells(len(hashes)):
+    for cell, count, spare in bands.cells(len(hashes)):
+        words, filled = slices(hashes, count)
         spots = np.arange(count, dtype=np.uint64) + np.uint64(cell << 40)
-        parts.append(mixed(slices(hashes, count) + mixed(spots)))
+        keys = mixed(words + mixed(spots))
+        parts.append(keys[filled] if count - np.count_nonzero(filled) <= spare else keys)
     return np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
 
 
@@ -150,8 +163,10 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def around_hubs(compared: DataFrame, percent: int) -> DataFrame:
     """Links ``(src, dst)`` among nodes compared with one hub that aren't both linked to it."""
-    lonely = compared.filter("NOT linked").select("hub").distinct()
-    rows = compared.join(lonely, "hub").select("hub", "node", F.col("n_node").alias("n"), "linked", F.size("differ").alias("a"), "differ")
+    # A hub with one node has no further pair around it.
+    groups = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and("linked").alias("done"))
+    open_hubs = groups.filter("nodes > 1 AND NOT done").select("hub")
+    rows = compared.join(open_hubs, "hub").select("hub", "node", F.col("n_node").alias("n"), "linked", F.size("differ").alias("a"), "differ")
     rows = stored(rows, "hub-rows")
     elements = rows.select("hub", "node", "n", "linked", "a", F.explode("differ").alias("e"))
     often = elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"))
