@@ -10,7 +10,7 @@ from conftest import ordered
 from pyspark.sql import functions as F
 
 from resona.llm.decontamination import contained_items, decontaminated
-from resona.llm.licenses import NOTICES, license_scan, rarity
+from resona.llm.licenses import NOTICES, TEXTS as LICENCES, license_scan, rarity
 from resona.llm.mixing import mix, mixed_words
 from resona.llm.phrases import phrase_fingerprints
 from resona.llm.repeated_lines import removed_lines, without_repeated_lines
@@ -201,6 +201,48 @@ def test_licences(spark, docs, no_docs):
     assert license_scan(no_docs.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def commented(text, mark, first="", last=""):
+    return first + "".join(f"{mark} {line}".rstrip() + "\n" for line in text.split("\n")) + last
+
+
+def test_whole_licences_and_wrapped_headers(spark):
+    whole = dict(LICENCES)
+    bsd = whole["BSD-3-Clause"].replace("The Regents of the University of California", "2020 A. Person")
+    code = "\nfrom x import y\nvalue = y(1)\n" * 20
+    rows = [(f"{name}/LICENSE", text.replace("<year> <copyright holders>", "2021 B. Person")) for name, text in LICENCES]
+    rows += [(f"{name}/src/plain.c", "int main() { return 0; }") for name, _ in LICENCES]
+    rows += [
+        ("h/a.py", "#!/usr/bin/env python\n" + commented("Copyright (C) 2020 C. Person\n" + GPL_HEADER, "#") + code),
+        ("h/b.c", commented(GPL_HEADER, " *", "/* Copyright 2020 D. Person\n", " */\n#include <stdio.h>\n") + code),
+        ("h/c.js", commented("Draws things.\n\n" + bsd, "//") + code), ("h/d.sql", commented(whole["BSD-2-Clause"], "--") + code),
+        ("h/e.html", "<!--\n" + whole["MIT"] + "-->\n<p>text</p>"), ("h/f.c", "/* MIT here */\n\n" + commented(whole["MIT"], " *", "/*\n", " */\n") + code),
+        ("h/g.py", "# SPDX-License-Identifier: GPL-3.0-or-later\n" + code), ("h/h.c", "/* SPDX-License-Identifier: MIT OR Apache-2.0 */\n" + code),
+        ("h/i.py", "# Free software is software under terms of a license.\n" + code), ("h/j.py", code + commented("Not a header\n" + GPL_HEADER, "#")),
+        ("h/k.py", "# one\n" * 20000),
+        ("h/l.py", "/* never closed" + code), ("m/m.py", commented(GPL_HEADER, "#").rstrip("\n")),
+    ]
+    found = {r[0]: (r[1], r[3]) for r in license_scan(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()}
+    for name, _ in LICENCES:
+        assert found[f"{name}/LICENSE"][0] == name
+        assert found[f"{name}/src/plain.c"] == (name, "inherited")
+    assert found["GPL-3.0/LICENSE"] == ("GPL-3.0", "file") and found["m/m.py"] == ("GPL-3.0", "header")
+    assert {p: v for p, v in found.items() if p.startswith("h/")} == {
+        "h/a.py": ("GPL-3.0", "header"), "h/b.c": ("GPL-3.0", "header"), "h/c.js": ("BSD-3-Clause", "header"), "h/d.sql": ("BSD-2-Clause", "header"),
+        "h/e.html": ("MIT", "header"), "h/f.c": ("MIT", "header"), "h/g.py": ("GPL-3.0", "header"), "h/h.c": ("MIT OR Apache-2.0", "header"),
+        "h/i.py": (None, None), "h/j.py": (None, None), "h/k.py": (None, None), "h/l.py": (None, None),
+    }
+
+
 def test_licence_cosines(spark):
     texts = [n for _, n in NOTICES] + ["some version of the work", "licensed", "under the MIT License released here", "plain text", "GNU GNU GNU Public"]
     files = spark.createDataFrame([(f"d{i}/f", t) for i, t in enumerate(texts)], "path string, text string")
