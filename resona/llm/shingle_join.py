@@ -249,6 +249,12 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     are; rows of one id with different texts are linked only if their sets are. An empty table gives an empty one,
     further columns are ignored.
     """
+    found = set_components(docs, width, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def set_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, n, sum_a, sum_b, component_id`` per row of ``docs``: the components with the sets they are found by."""
     rows = read_docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base, nodes, links = shingle_links(rows, width, percent)
     ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -258,19 +264,30 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     by_set = joined.join(lowest, "c").select(*SET_KEY, "component_id")
     out = base.join(by_set, SET_KEY, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", *SET_KEY, component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``docs`` with one document of each component of similar ones: that with the lowest id.
 
-    Rows of one id that are equal in all columns are one document; rows with a null id stay.
+    Rows of one id that are equal in all columns are one document; of an id with different texts only the rows go that are
+    copies of a lower id. Rows with a null id stay.
     """
-    found = stored(similar_components(docs, width, percent), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    kept = without_ids(docs, stored(gone, "copies"))
-    twice = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    found = stored(set_components(docs, width, percent), "components")
+    goes = F.col("doc_id") != F.col("component_id")
+    per_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(goes).alias("some"), F.bool_and(goes).alias("all"))
+    per_id = stored(per_id.filter("n > 1 OR all"), "ids")
+    kept = without_ids(docs, stored(per_id.filter("all").select("doc_id"), "copies"))
+    twice = stored(per_id.filter("n > 1 AND NOT all").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
         return kept
     again = kept.join(twice, kept["doc_id"].cast("long") == twice["doc_id"], "left_semi")
+    split = stored(per_id.filter("some AND NOT all").select("doc_id"), "split-ids")
+    if not split.isEmpty():
+        # The texts of these ids, told apart by hash, with the sets that stay.
+        texts = read_docs(again).select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        sets = set_rows(texts, width, "", percent).withColumnRenamed("doc_id", "hash")
+        stay = found.join(twice, "doc_id", "left_semi").filter(~goes)
+        stay = stored(stay.join(sets, SET_KEY).select("doc_id", "hash").distinct(), "staying-texts")
+        again = again.join(stay, (again["doc_id"].cast("long") == stay["doc_id"]) & (F.xxhash64(again["text"]) == stay["hash"]), "left_semi")
     return without_ids(kept, twice).unionByName(again.dropDuplicates())

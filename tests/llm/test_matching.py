@@ -187,6 +187,13 @@ def test_mix_of_odd_rows(docs, no_docs, rows):
     assert mixed_words(no_docs).count() == 0 and mix(docs).columns == docs.columns
 
 
+def test_one_of_each_with_several_texts_of_one_id(spark):
+    a, b, c = ("".join(f" {stem}{i}" for i in range(40)) for stem in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, None), (9, b), (9, b), (12, c), (13, c), (13, a), (None, a)]
+    kept = one_of_each(spark.createDataFrame(rows, TEXTS).repartition(3), 5, 80)
+    assert ordered(kept, "doc_id", "text") == [(None, a), (1, a), (5, None), (5, b), (12, c)]
+
+
 def test_licences(spark, docs, no_docs):
     notice = NOTICES[0][1]
     rows = [
