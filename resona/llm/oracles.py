@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import HEADER, LICENCE_FILE, NOTICES
 from .repeated_lines import LEAST_WORDS
+from .secret_ledger import BASE, MORE
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -78,10 +79,80 @@ SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, coalesce(h.licenc
 FROM documents LEFT JOIN headers h USING (doc_id) LEFT JOIN files f USING (doc_id) LEFT JOIN holders u USING (source, lang)"""
 
 
+def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry."""
+    assigned = """(SELECT vec_id, row, label, p, list, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+    SELECT x.*, b.e, list_sum(list_transform(list_zip(list, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM pieces x JOIN {books} b USING (p)) GROUP BY ALL)"""
+    moves = ""
+    for i in range(rounds):
+        moves += f"""sums{i} AS (SELECT p, e, list(mean ORDER BY place) AS entry FROM (
+  SELECT p, e, place, CAST(floor(sum(value) / count(*)) AS BIGINT) AS mean FROM (
+    SELECT p, e, unnest(range(1, len(list) + 1)) AS place, unnest(list) AS value FROM {assigned.format(books=f'books{i}')}) GROUP BY ALL) GROUP BY ALL),
+books{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(s.entry, b.entry) AS entry FROM books{i} b LEFT JOIN sums{i} s USING (p, e)),
+"""
+    return f"""
+WITH kept AS (SELECT vec_id, label, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0),
+pieces AS MATERIALIZED (SELECT vec_id, row, label, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS list FROM kept, range({parts}) r(p)),
+seeds AS (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}),
+books0 AS MATERIALIZED (SELECT p, e, list AS entry FROM pieces JOIN seeds USING (row)),
+{moves}finals AS MATERIALIZED {assigned.format(books=f'books{rounds}')},
+codes AS (SELECT row, vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM finals GROUP BY ALL),
+digest AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, digest"""
+
+
+TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def search_sql(k: int = 20) -> str:
+    """Every item against every document that shares a term."""
+
+    def terms(table: str, key: str) -> str:
+        lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"(SELECT {key}, unnest(regexp_extract_all({lowered}, {TERM})) AS term FROM {table})"
+
+    return f"""
+WITH tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM {terms('documents', 'doc_id')} GROUP BY ALL),
+lengths AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY 1),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM lengths, total),
+wanted AS (SELECT item_id, term, count(*) AS times FROM {terms('benchmark', 'item_id')} GROUP BY ALL),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {k}"""
+
+
+def secrets_sql() -> str:
+    """Every rule over every text."""
+    scans = []
+    for place, rule in enumerate(BASE + MORE):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        scans.append(f"""SELECT row, {place} AS place, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(met) + 1), lambda i: {{
+    'first': list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(met[1:i - 1], lambda g: length(g))), 0), 'met': met[i], 'value': value[i]}})) AS s
+  FROM (SELECT row, string_split_regex(text, {pattern}) AS gap, regexp_extract_all(text, {pattern}) AS met, regexp_extract_all(text, {pattern}, {rule.group}) AS value FROM texts)
+  WHERE len(met) > 0""")
+    lowest = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(BASE + MORE))
+    item = "kind || ':' || first || ':' || last"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+met AS ({' UNION ALL '.join(scans)}),
+spans AS (SELECT row, place, kind, CAST(s.first AS BIGINT) AS first, CAST(s.first + length(s.met) AS BIGINT) AS last FROM met WHERE length(s.value) >= CASE place {lowest} END)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({item}, ',' ORDER BY first, place) FILTER (place < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg({item}, ',' ORDER BY first, place) FILTER (kind IS NOT NULL), '') AS spans
+FROM texts LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_repeated_lines": REPEATED_LINES,
         "op4_licenses": licences_sql(),
         "op7_decontamination": TEST_ITEMS,
         "op8_shingle_join": COMPONENTS,
+        "op11_vector_codes": vector_codes_sql(),
+        "op12_treap_search": search_sql(),
+        "op13_secret_ledger": secrets_sql(),
     }

@@ -17,9 +17,12 @@ from .mixing import mixed_words
 from .phrases import phrase_fingerprints
 from .quality import quality_scores
 from .repeated_lines import removed_lines
+from .secret_ledger import secret_report
 from .shingle_join import similar_components
 from .token_counts import token_counts
 from .token_files import token_files
+from .treap_search import search
+from .vector_codes import vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,10 +72,23 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     numbered = (
         op1_repeated_lines, op2_language_mixture, op3_quality, op4_licenses, op5_token_files,
         op6_mixing, op7_decontamination, op8_shingle_join, op9_token_counts, op10_phrase_fingerprints,
+        op11_vector_codes, op12_treap_search, op13_secret_ledger,
     )
     return {q.__name__: q for q in numbered} | {"pipeline": corpus_pipeline.run}
 
