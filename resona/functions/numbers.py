@@ -87,6 +87,8 @@ def creator_scale(followers: Column, classes: Sequence[tuple[str, int | None]] =
 
 
 def round_half_even(value: Column, digits: int = 3) -> Column:
-    return F.bround(value, digits)
+    """Scale, round to the nearest even integer, scale back: ties are ties of the product, as in numpy and SQL's ROUND_EVEN."""
+    scale = 10.0**digits
+    return F.rint(value.cast("double") * scale) / scale
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,8 +134,9 @@ def test_content_type(spark):
 
 def test_numbers(spark):
     assert evaluate(spark, ["1.5", "x", None, "NaN", " 7 ", "-2"], numbers.number) == [1.5, 0, 0, 0, 7, -2]
-    rounded = evaluate(spark, [0.1235, 0.0005], numbers.round_half_even, "v DOUBLE")
-    assert rounded == [0.124, 0.0]
+    values = [0.1235, 0.0005, 0.5055, 0.5115, 0.5035, 1.0005, 2.6755]
+    rounded = evaluate(spark, values, numbers.round_half_even, "v DOUBLE")
+    assert rounded == [float(x) for x in np.round(values, 3)]
     assert evaluate(spark, [2.5], lambda c: numbers.round_half_even(c, 0), "v DOUBLE") == [2.0]
 
 

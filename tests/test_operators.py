@@ -7,7 +7,7 @@ from collections import defaultdict, deque
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import records
+from helpers import records
 from pyspark.sql import functions as F
 
 from resona.operators import graph, nesting, topics

@@ -6,10 +6,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from workload import oracles, registry
 
 DIRECTORY = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = oracles.oracle_sql()
+QUERIES = registry.queries()
 ROWS_ONLY = {"semantic_clusters"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIRECTORY), reason="given tables are not here")
@@ -22,6 +23,7 @@ def con():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY and set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import records
+from helpers import records
 from pyspark.sql import functions as F
 
 from resona.operators import topics

@@ -400,7 +400,8 @@ SELECT lang, n_docs, clusters, tried, CAST(CASE WHEN tried > 0 THEN tried + 1 EL
         "message_frames": f"""WITH {POSTS}, {ENRICHED}, {THEME_TABLE} SELECT primary_theme || ' | ' || action_frame AS message_frame, mood_label, median_views
   FROM themes_table ORDER BY median_views DESC, primary_theme, action_frame, mood_label LIMIT 8""",
         "hashtags_multi_post": f"""WITH {POSTS}, {HASHTAG_TABLE} SELECT * FROM hashtag_table WHERE posts >= 2 ORDER BY median_eng_per_1k DESC, hashtag LIMIT 15""",
-        "rounding": "SELECT l_linenumber, round_even(count(*) / 2.0, 0) AS half, round_even(count(*) / 16.0, 3) AS part FROM lineitem GROUP BY 1",
+        "rounding": """SELECT l_orderkey, l_linenumber, round_even(CAST(l_quantity AS DOUBLE) / 2, 0) AS half, round_even(CAST(l_orderkey AS DOUBLE) / 16, 3) AS part,
+  round_even((2.0 * CAST(l_orderkey AS DOUBLE) + 1) / 2000, 3) AS decimal_half FROM lineitem""",
         "content_kind": """SELECT event_id, CASE WHEN event_type = 'view' THEN 'video' WHEN event_type = 'click' AND value > 20 THEN 'images_audio'
   WHEN value > 20 THEN 'images_music' ELSE 'unknown' END AS content_type FROM events""",
         "manifest": f"""WITH {POSTS}, {NETWORK} SELECT "table", 'core' AS category, rows, CAST(cols AS INTEGER) AS cols FROM (

@@ -470,8 +470,11 @@ def q_hashtags_multi_post(spark, d):
 
 def q_rounding(spark, d):
     lines = a.table(spark, d, "lineitem")
-    return lines.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n")).select(
-        "l_linenumber", round_half_even(F.col("n") / 2, 0).alias("half"), round_half_even(F.col("n") / 16, 3).alias("part")
+    # Decimal halves that have no exact binary form, next to exact ones.
+    return lines.select(
+        "l_orderkey", "l_linenumber", round_half_even(F.col("l_quantity") / 2, 0).alias("half"),
+        round_half_even(F.col("l_orderkey") / 16, 3).alias("part"),
+        round_half_even((F.lit(2.0) * F.col("l_orderkey") + 1) / 2000.0, 3).alias("decimal_half"),
     )
 
 
