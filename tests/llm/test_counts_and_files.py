@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import merges_count
-from conftest import ordered
+from samples import ordered
 from tokenizers import Tokenizer
 
 from resona.llm.frames import folder_uri

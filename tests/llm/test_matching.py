@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 from brute import components, contained, cosine, lz_phrases, removed_lines as plain_removed, water_filling
-from conftest import ordered
+from samples import ordered
 from pyspark.sql import functions as F
 
 from resona.llm.decontamination import contained_items, decontaminated

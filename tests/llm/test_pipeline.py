@@ -3,7 +3,7 @@
 import numpy as np
 import public_tokenizers
 from brute import components, contained
-from conftest import ordered
+from samples import ordered
 from tokenizers import Tokenizer
 
 import corpus_pipeline
