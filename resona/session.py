@@ -47,8 +47,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read back: for tables used many times."""
-    path = fresh_path(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back: for tables used many times."""
+    return written(df, fresh_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Stored tables that are deleted once the last table read from them has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        return written(df, path)
+
+    def clear(self) -> None:
+        """Nothing that is still to be computed may read these tables."""
+        for path in self.paths:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        self.paths = []
