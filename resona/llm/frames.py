@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut, shared_folder, stored
+from ..session import Scratch, cut, shared_folder, stored
 
-__all__ = ["arrow_rows", "cut", "folder_uri", "held_out", "map_arrow", "read_docs", "stored", "table"]
+__all__ = ["Scratch", "arrow_rows", "cut", "folder_uri", "held_out", "in_parts", "map_arrow", "read_docs", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def arrow_rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+def arrow_rows(batches: Iterable[pa.RecordBatch], *columns: str, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
     """Each batch with the named columns as Python lists, a bounded number of bytes at a time."""
     for batch in batches:
-        for part in in_parts(batch):
+        for part in in_parts(batch, most_bytes):
             yield part, [part.column(c).to_pylist() for c in columns]
 
 

@@ -2,13 +2,15 @@
 
 A shingle flips one bit of a document's sketch, so the sketches of two documents differ in at most as many bits
 as their sets differ in shingles. Within a band of set sizes that difference has an upper limit ``d``; cut into
-``d + 1`` slices, two sketches within the limit agree on one slice at least (pigeonhole); a few slices more let
-empty ones, on which unrelated documents agree too, be skipped. Equal slices give candidates, exact set differences verify them.
-
-No group is expanded into pairs. Equal sets are one node. In each slice bucket one hub is compared with the
-others. Two nodes that were compared with the same hub, not both linked to it, can only be linked if their
-*differences from the hub* overlap; a prefix join over those differences, rarest elements first, finds all such
-pairs. So no link between different sets is lost, while near copies of one text cost what they differ in.
+``d + 1 + spare`` slices, two sketches within the limit agree on ``spare + 1`` slices at least (pigeonhole). So a document
+that shares fewer of its slices with anyone has no partner, and of the others only the rarest slices need to be looked up:
+they agree on one of these. Equal slices give candidates, exact set differences verify them.
+
+No group is expanded into pairs. Equal sets are one node. Each node is compared with one hub first; only slice buckets
+whose nodes are not all joined by then are looked at further. There all nodes are compared with the bucket's hub, and those
+of other components than the hub's with further hubs as long as that joins any. Two nodes that are still apart can only be
+linked if their *differences from the hub* overlap; a prefix join over those differences, rarest elements first, finds all
+such pairs. So all nodes that links connect are found to be connected, while near copies cost what they differ in.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from .bitmaps import bitmap, hits, place, without_ids
-from .frames import arrow_rows, map_arrow, read_docs, stored
+from .frames import Scratch, arrow_rows, in_parts, map_arrow, read_docs, stored
 from .shingles import mixed, shingle_set
 
 
@@ -44,18 +46,16 @@ class Bands:
         self.differ = (low + high) * (100 - percent) // (100 + percent)
 
     def cells(self, size: int) -> list[tuple[int, int, int]]:
-        """Cells of a set of this size: number, slices, and how many of these may be empty and skipped.
+        """Cells of a set of this size: number, slices, and how many of these are more than differences plus one.
 
-        With ``spare`` slices more than differences plus one, similar sets agree on ``spare + 1`` slices. So they agree on
-        a filled one, unless both have more than ``spare`` empty ones; only then those count too. Where
-        sets must be equal there is no cell.
+        Similar sets agree on ``spare + 1`` slices of a cell at least. Where sets must be equal there is no cell.
         """
         band = int(np.searchsorted(self.edges, size, side="right")) - 1
         out = []
         for cell in (band - 1, band):
             if cell >= 0 and self.differ[cell] > 0:
                 least = int(self.differ[cell]) + 1
-                spare = 1 + int(4 * least * np.exp(-self.edges[cell] / least))
+                spare = 1 + least // 2 + int(4 * least * np.exp(-self.edges[cell] / least))
                 out.append((cell, least + spare, spare))
         return out
 
@@ -75,15 +75,20 @@ def slices(hashes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return out, filled
 
 
-def slice_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """One key per (cell, slice, parity word) of a set; of empty slices only if there are more than may be skipped."""
-    parts = []
+def slice_keys(hashes: np.ndarray, bands: Bands) -> list[tuple[int, int, np.ndarray]]:
+    """Per cell of a set: its number, how many keys similar sets share at least, and a key per (cell, slice, parity word).
+
+    Unrelated sets agree on empty slices, so these are left out, unless similar sets might agree on them alone. A set that
+    keeps them may have a partner that doesn't, with which it shares one filled slice at least.
+    """
+    out = []
     for cell, count, spare in bands.cells(len(hashes)):
         words, filled = slices(hashes, count)
         spots = np.arange(count, dtype=np.uint64) + np.uint64(cell << 40)
-        keys = mixed(words + mixed(spots))
-        parts.append(keys[filled] if count - np.count_nonzero(filled) <= spare else keys)
-    return np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+        keys = mixed(words + mixed(spots)).view(np.int64)
+        least = spare + 1 - (count - int(np.count_nonzero(filled)))
+        out.append((cell, least, keys[filled]) if least > 0 else (cell, 1, keys))
+    return out
 
 
 def identity(hashes: np.ndarray) -> tuple[int, int, int]:
@@ -96,28 +101,34 @@ SET_KEY = ["n", "sum_a", "sum_b"]
 
 
 def set_rows(docs: DataFrame, width: int, mode: str, percent: int, bits: np.ndarray | None = None, largest: int = 0) -> DataFrame:
-    """Rows ``doc_id, n, sum_a, sum_b`` per document with a shingle; with ``keys`` or the whole ``shingles`` by mode.
+    """Rows ``doc_id, n, sum_a, sum_b`` per document with a shingle; with the whole ``shingles``, or per cell with ``cell``,
+    ``least`` and ``keys``, by mode.
 
     ``bits`` keeps only documents whose id is in the bitmap.
     """
     shared = docs.sparkSession.sparkContext.broadcast((bits, Bands(percent, largest)))
-    extra = {"keys": ", keys array<long>", "shingles": ", shingles array<long>"}.get(mode, "")
+    extra = {"keys": ", cell int, least int, keys array<long>", "shingles": ", shingles array<long>"}.get(mode, "")
+    names = ["doc_id", *SET_KEY, *{"keys": ["cell", "least", "keys"], "shingles": ["shingles"]}.get(mode, [])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, bands = shared.value
         for batch in batches:
             if chosen is not None:
                 batch = batch.filter(pa.array(hits(chosen, batch.column("place").to_numpy())))
-            for _, (ids, texts) in arrow_rows([batch], "doc_id", "text"):
-                sets = [shingle_set(t, width) for t in texts]
-                rows = [(i, *identity(s)) for i, s in zip(ids, sets)]
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                names = ["doc_id", *SET_KEY]
-                if mode == "keys":
-                    columns.append(pa.array([slice_keys(s, bands) for s in sets], pa.list_(pa.int64())))
-                elif mode == "shingles":
-                    columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
-                yield pa.record_batch(columns, names=[*names, mode] if extra else names)
+            for _, (ids, texts) in arrow_rows([batch], "doc_id", "text", most_bytes=2 << 20):
+                rows, lists = [], []
+                for i, text in zip(ids, texts):
+                    found = shingle_set(text, width)
+                    if mode == "keys":
+                        for cell, least, keys in slice_keys(found, bands):
+                            rows.append((i, *identity(found), cell, least))
+                            lists.append(keys)
+                    else:
+                        rows.append((i, *identity(found)))
+                        lists.append(found.view(np.int64) if mode else None)
+                if rows:
+                    columns = [pa.array(c, pa.int32() if k >= 4 else pa.int64()) for k, c in enumerate(zip(*rows))]
+                    yield pa.record_batch([*columns, pa.array(lists, pa.list_(pa.int64()))] if mode else columns, names=names)
 
     rows = docs.select("doc_id", "text", place(F.col("doc_id")).alias("place"))
     return map_arrow(rows, task, "doc_id long, n long, sum_a long, sum_b long" + extra)
@@ -144,12 +155,16 @@ def most_different(size_a: Column, size_b: Column, percent: int) -> Column:
     return F.floor((size_a + size_b) * (100 - percent) / F.lit(100 + percent))
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """``(hub, node)`` for the members of every bucket ``(key, node, n_bucket, copies)``: the hub shares most with others."""
-    weight = members.groupBy("node").agg(F.sum("n_bucket").alias("weight"))
-    weighed = members.join(weight, "node")
-    hubs = weighed.groupBy("key").agg(F.max_by("node", F.struct("copies", "weight", -F.col("node"))).alias("hub"))
-    return members.join(hubs, "key").filter("hub <> node").select("hub", "node").distinct()
+def with_hubs(members: DataFrame) -> DataFrame:
+    """``(key, node, copies, top, hub)`` for the members ``(key, node, copies)`` of every bucket of two or more.
+
+    Its hub has most copies, then most company in all buckets; ``top`` orders hubs.
+    """
+    sized = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1"), "key")
+    weight = sized.groupBy("node").agg(F.sum("n_key").alias("weight"))
+    order = F.struct("copies", "weight", (-F.col("node")).alias("first"))
+    hubs = sized.join(weight, "node").groupBy("key").agg(F.max(order).alias("top"))
+    return members.join(hubs, "key").withColumn("hub", -F.col("top.first"))
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,32 +176,31 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("hub", "node", "n_node", "n_hub", differ.alias("differ"))
 
 
-def around_hubs(compared: DataFrame, percent: int) -> DataFrame:
-    """Links ``(src, dst)`` among nodes compared with one hub that aren't both linked to it."""
-    # A hub with one node has no further pair around it.
-    groups = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and("linked").alias("done"))
-    open_hubs = groups.filter("nodes > 1 AND NOT done").select("hub")
-    rows = compared.join(open_hubs, "hub").select("hub", "node", F.col("n_node").alias("n"), "linked", F.size("differ").alias("a"), "differ")
-    rows = stored(rows, "hub-rows")
-    elements = rows.select("hub", "node", "n", "linked", "a", F.explode("differ").alias("e"))
-    often = elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"))
-    ranked = elements.join(often, ["hub", "e"]).groupBy("hub", "node", "n", "linked", "a").agg(
-        F.array_sort(F.collect_list(F.struct("df", "e"))).alias("order")  # as many as a pair of documents has shingles
+def around_hubs(compared: DataFrame, components: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links ``(src, dst)`` among nodes that were compared with one hub and lie in different components."""
+    placed = compared.join(components, "node").withColumn("a", F.size("differ"))
+    # The pairs with the hub itself are known, so a hub whose other nodes are all joined is done.
+    groups = placed.groupBy("hub").agg((F.min("c") < F.max("c")).alias("open")).filter("open").select("hub")
+    rows = scratch.stored(placed.join(groups, "hub").select("hub", "node", "c", F.col("n_node").alias("n"), "linked", "a", "differ"), "hub-rows")
+    elements = rows.select("hub", "node", "c", "n", "linked", "a", F.explode("differ").alias("e"))
+    often = elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), (F.min("c") < F.max("c")).alias("apart"))
+    ranked = elements.join(often, ["hub", "e"]).groupBy("hub", "node", "c", "n", "linked", "a").agg(
+        F.array_sort(F.collect_list(F.struct("df", "e", "apart"))).alias("order")  # as many as a pair of documents has shingles
     )
     # A partner differs from the hub by at least a - d, and shares at least (a + b - d) / 2 elements.
     own = F.floor(F.col("n") * 100 / F.lit(percent))
     limit = most_different(F.col("n"), own, percent)
     # Of a linked node and one that isn't, b exceeds the limit towards the hub, which may be a share of a below d.
     reach = F.when(F.col("linked"), F.floor(F.col("a") * 100 / F.lit(100 + percent)) + 2).otherwise(F.least(F.col("a"), limit + 1))
-    ranked = ranked.select("hub", "node", "n", "linked", "a", F.posexplode(F.slice("order", F.lit(1), F.greatest(reach, F.lit(1)).cast("int"))).alias("r", "x"))
-    ranked = ranked.filter("x.df > 1").select("hub", "node", "n", "linked", "a", "r", F.col("x.e").alias("e"))
-    ranked = stored(ranked, "hub-prefixes")
-    left = ranked.select("hub", "e", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "linked", "a", "r")])
-    right = ranked.select("hub", "e", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "linked", "a", "r")])
+    ranked = ranked.select("hub", "node", "c", "n", "linked", "a", F.posexplode(F.slice("order", F.lit(1), F.greatest(reach, F.lit(1)).cast("int"))).alias("r", "x"))
+    # Elements that only nodes of one component have join nothing.
+    ranked = ranked.filter("x.apart").select("hub", "node", "c", "n", "linked", "a", "r", F.col("x.e").alias("e"))
+    ranked = scratch.stored(ranked, "hub-prefixes")
+    left = ranked.select("hub", "e", *[F.col(c).alias(f"{c}1") for c in ("node", "c", "n", "linked", "a", "r")])
+    right = ranked.select("hub", "e", *[F.col(c).alias(f"{c}2") for c in ("node", "c", "n", "linked", "a", "r")])
     shared = F.ceil((F.col("a1") + F.col("a2") - most_different(F.col("n1"), F.col("n2"), percent)) / 2)
     fits = (
-        (F.col("node1") < F.col("node2"))
-        & ~(F.col("linked1") & F.col("linked2"))
+        (F.col("c1") < F.col("c2"))
         & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
         & (shared <= F.least("a1", "a2"))
         & (F.col("r1") <= F.col("a1") - shared)
@@ -197,45 +211,105 @@ def around_hubs(compared: DataFrame, percent: int) -> DataFrame:
     two = rows.select("hub", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("differ").alias("d2"))
     both = met.join(one, ["hub", "node1"]).join(two, ["hub", "node2"])
     differ = F.size("d1") + F.size("d2") - 2 * F.size(F.array_intersect("d1", "d2"))
-    return both.filter(linked(F.col("n1"), F.col("n2"), differ, percent)).select(F.col("node1").alias("src"), F.col("node2").alias("dst"))
+    return both.filter(linked(F.col("n1"), F.col("n2"), differ, percent)).select(F.least("node1", "node2").alias("src"), F.greatest("node1", "node2").alias("dst"))
 
 
-def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of all rows, nodes (distinct sets), and links between nodes that connect all that are similar."""
-    base = stored(set_rows(docs, width, "", percent), "sets")
-    nodes = stored(set_nodes(base), "set-nodes")
+def similar_slices(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(key, node, copies)``: the slices by which nodes may have partners.
+
+    Similar nodes share ``least`` of a cell's keys. Nodes that share fewer with anyone are dropped, which makes further
+    keys rare, and so on. Of the others' shared keys, all but the ``least - 1`` most frequent ones are enough.
+    """
+    scratch = Scratch(docs.sparkSession)
     largest = nodes.agg(F.max("n")).first()[0] or 1
     wanted = bitmap(nodes.select(place(F.col("rep"))))
-    keyed = stored(set_rows(docs, width, "keys", percent, wanted, largest).filter("n > 0"), "set-keys")
-    exploded = keyed.select(F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n_bucket")).filter("n_bucket > 1")
-    shared = stored(shared, "shared-keys")
+    keyed = scratch.stored(set_rows(docs, width, "keys", percent, wanted, largest), "set-keys")
+    shared = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
+    shared = scratch.stored(shared.filter("n_key > 1").select("key"), "shared-keys")
     frequent = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select(F.pmod("key", F.lit(1 << 26)))))
+    columns = ["doc_id", *SET_KEY, "cell", "least"]
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = frequent.value
         for batch in batches:
-            lists = batch.column("keys")
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owners = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            met = hits(bits, keys & ((1 << 26) - 1))
-            at = pa.array(owners[met])
-            yield pa.record_batch([*[batch.column(c).take(at) for c in ("doc_id", *SET_KEY)], pa.array(keys[met])], names=["doc_id", *SET_KEY, "key"])
-
-    members = map_arrow(keyed, thinned, "doc_id long, n long, sum_a long, sum_b long, key long").join(shared, "key")
+            for part in in_parts(batch):
+                lists = part.column("keys")
+                keys = lists.flatten().to_numpy(zero_copy_only=False)
+                owners = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                met = hits(bits, keys & ((1 << 26) - 1))
+                enough = np.bincount(owners[met], minlength=part.num_rows) >= part.column("least").to_numpy()
+                met &= enough[owners]
+                at = pa.array(owners[met])
+                yield pa.record_batch([*[part.column(c).take(at) for c in columns], pa.array(keys[met])], names=[*columns, "key"])
+
+    rows = map_arrow(keyed, thinned, "doc_id long, n long, sum_a long, sum_b long, cell int, least int, key long")
     named = nodes.select(*SET_KEY, F.col("rep").alias("doc_id"), "node", "copies")
-    members = stored(members.join(named, [*SET_KEY, "doc_id"]).select("key", "node", "n_bucket", "copies").distinct(), "members")
-    pairs = stored(hub_pairs(members), "hub-pairs")
-    involved = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes, "node")
-    involved = stored(involved.select("node", *SET_KEY, F.col("rep").alias("doc_id")), "involved")
-    chosen = bitmap(involved.select(place(F.col("doc_id"))))
-    sets = set_rows(docs, width, "shingles", percent, chosen).join(involved, ["doc_id", *SET_KEY]).select("node", "n", "shingles")
-    sets = stored(sets.dropDuplicates(["node"]), "involved-sets")
-    compared = differences(pairs, sets)
-    compared = compared.withColumn("linked", linked(F.col("n_node"), F.col("n_hub"), F.size("differ"), percent))
-    compared = stored(compared, "compared")
-    links = compared.filter("linked").select(F.least("hub", "node").alias("src"), F.greatest("hub", "node").alias("dst"))
-    links = stored(links.union(around_hubs(compared, percent)).distinct(), "links")
+    rows = rows.join(shared, "key").join(named, [*SET_KEY, "doc_id"]).select("key", "node", "cell", "least", "copies").distinct()
+    rows = scratch.stored(rows, "slices")
+    before, count = None, rows.count()
+    # Any number of rounds is right; they end when little is left to drop.
+    while before is None or count < 0.9 * before:
+        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1")
+        kept = rows.drop("n_key", "held").join(often, "key")
+        held = kept.groupBy("node", "cell").agg(F.count(F.lit(1)).alias("held"))
+        rows = scratch.stored(kept.join(held, ["node", "cell"]).filter("held >= least"), "shared-slices")
+        before, count = count, rows.count()
+    own = Window.partitionBy("node", "cell").orderBy("n_key", "key")  # the slices of one text
+    rarest = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= F.col("held") - F.col("least") + 1)
+    members = stored(rarest.select("key", "node", "copies"), "members")
+    scratch.clear()
+    return members
+
+
+def components_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, c)`` for all nodes."""
+    found = connected_components(nodes.select(F.col("node").alias("id")), links)
+    return found.select(F.col("id").alias("node"), F.col("component_id").alias("c"))
+
+
+def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, nodes (distinct sets), and links between nodes that connect all that are similar."""
+    base = stored(set_rows(docs, width, "", percent), "sets")
+    nodes = stored(set_nodes(base), "set-nodes")
+    scratch = Scratch(docs.sparkSession)
+    buckets = scratch.stored(with_hubs(similar_slices(docs, nodes, width, percent)), "buckets")
+    involved = scratch.stored(buckets.select("node").distinct(), "involved")
+    named = involved.join(nodes, "node").select("node", *SET_KEY, F.col("rep").alias("doc_id"))
+    chosen = bitmap(named.select(place(F.col("doc_id"))))
+    sets = set_rows(docs, width, "shingles", percent, chosen).join(named, ["doc_id", *SET_KEY]).select("node", "n", "shingles")
+    sets = scratch.stored(sets.dropDuplicates(["node"]), "involved-sets")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        found = differences(pairs, sets)
+        return scratch.stored(found.withColumn("linked", linked(F.col("n_node"), F.col("n_hub"), F.size("differ"), percent)), "compared")
+
+    def links_of(compared: DataFrame) -> DataFrame:
+        return compared.filter("linked").select(F.least("hub", "node").alias("src"), F.greatest("hub", "node").alias("dst"))
+
+    # Every node and its best hub.
+    pairs = buckets.filter("hub <> node").groupBy("node").agg(F.max("top").alias("top")).select((-F.col("top.first")).alias("hub"), "node")
+    around = compare(pairs)
+    links = scratch.stored(links_of(around), "links")
+    components = scratch.stored(components_of(involved, links), "components")
+    # Buckets whose nodes are not all joined: all their nodes and their hub.
+    rest = buckets.join(components, "node")
+    apart = rest.groupBy("key").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("key")
+    rest = scratch.stored(rest.join(apart, "key").select("key", "node", "copies", "hub"), "apart")
+    around = around.unionByName(compare(rest.filter("hub <> node").select("hub", "node").distinct().join(pairs, ["hub", "node"], "left_anti")))
+    more = links_of(around)
+    # Further hubs among those that their bucket's hubs do not join, as long as that finds links.
+    while True:
+        links = scratch.stored(links.unionByName(more).distinct(), "links")
+        components = scratch.stored(components_of(involved, links), "components")
+        of_hub = components.select(F.col("node").alias("hub"), F.col("c").alias("c_hub"))
+        others = rest.join(components, "node").join(of_hub, "hub").filter("c <> c_hub").select("key", "node", "copies")
+        rest = scratch.stored(with_hubs(others).select("key", "node", "copies", "hub"), "apart")
+        pairs = rest.join(components, "node").join(of_hub, "hub").filter("c <> c_hub").select("hub", "node").distinct()
+        more = links_of(compare(pairs))
+        if more.isEmpty():
+            break
+    links = stored(links.unionByName(around_hubs(around, components, percent, scratch)).distinct(), "links")
+    scratch.clear()
     return base, nodes, links
 
 

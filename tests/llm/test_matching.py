@@ -4,17 +4,19 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from brute import components, contained, cosine, lz_phrases, removed_lines as plain_removed, water_filling
 from samples import ordered
 from pyspark.sql import functions as F
 
+from resona.llm import shingle_join
 from resona.llm.decontamination import contained_items, decontaminated
 from resona.llm.licenses import NOTICES, TEXTS as LICENCES, license_scan, rarity
 from resona.llm.mixing import mix, mixed_words
 from resona.llm.phrases import phrase_fingerprints
 from resona.llm.repeated_lines import removed_lines, without_repeated_lines
-from resona.llm.shingle_join import Bands, one_of_each, shingle_links, similar_components
+from resona.llm.shingle_join import Bands, one_of_each, shingle_links, similar_components, slice_keys
 
 TEXTS = "doc_id long, text string"
 
@@ -86,6 +88,54 @@ def test_no_group_is_expanded(spark):
     assert links.count() < 4 * len(rows)
 
 
+def test_families_that_share_a_passage(spark, monkeypatch):
+    """A family whose texts hold a passage of another one's hub: the pairs that are compared grow with the texts."""
+    compared = []
+    original = shingle_join.differences
+    monkeypatch.setattr(shingle_join, "differences", lambda pairs, sets: compared.append(pairs.count()) or original(pairs, sets))
+    passage = [f"p{i}" for i in range(300)]
+
+    def rows_of(size):
+        r = random.Random(3)
+        rows = []
+        for family in ("a", "b"):
+            own = [f"{family}{i}" for i in range(200)]
+            for i in range(size if family == "b" else size // 10):
+                text = [*passage, *own]
+                text[300 + r.randrange(200)] = f"{family}x{i}"
+                rows.append((len(rows), " ".join(text)))
+        return rows + [(1000 + i, rows[0][1]) for i in range(5)]  # copies make the first family's text the hub
+
+    counts = []
+    for size in (40, 160):
+        compared.clear()
+        rows = rows_of(size)
+        wanted = sorted((i, *v) for (i, _), v in components(rows, 5, 80).items())
+        assert ordered(similar_components(spark.createDataFrame(rows, TEXTS), 5, 80)) == wanted
+        counts.append(sum(compared))
+    assert counts[1] < 6 * counts[0] and counts[1] < 8 * 176
+
+
+def test_similar_sets_share_enough_slices():
+    r = np.random.default_rng(4)
+    for percent in (80, 90):
+        bands = Bands(percent, 4000)
+        for size in (3, 7, 20, 90, 400, 2500):
+            for _ in range(20):
+                one = r.integers(0, 2**63, size).astype(np.uint64)
+                differ = 2 * size * (100 - percent) // (100 + percent)
+                gone = int(r.integers(0, differ + 1))
+                new = r.integers(0, 2**63, int(r.integers(0, differ - gone + 1))).astype(np.uint64)
+                two = np.unique(np.concatenate([one[gone:], new]))
+                one = np.unique(one)
+                union = len(np.union1d(one, two))
+                if 100 * len(np.intersect1d(one, two)) < percent * union or len(np.setxor1d(one, two)) == 0:
+                    continue
+                cells = {c: (least, keys) for c, least, keys in slice_keys(one, bands)}
+                both = [(least, keys, *cells[c]) for c, least, keys in slice_keys(two, bands) if c in cells]
+                assert any(len(np.intersect1d(a, b)) >= max(x, y) for x, a, y, b in both)
+
+
 def test_items_in_documents(spark, docs, no_docs, rows):
     r = random.Random(4)
     item = [f"i{k}" for k in range(40)]
