@@ -5,7 +5,9 @@ closed by an end id, in ascending ``doc_id`` order, cut into sequences of ``LENG
 have two fixed-size-list columns, ``ids`` (unsigned, 16 bits where the vocabulary allows, else 32) and
 ``mask`` (bits, false in the padding that only a shard's last sequence has), uncompressed, and all but the
 last batch hold ``PER_BATCH`` sequences. So the place of any id follows by division, and a memory-mapped
-reader takes views of it without copying. An index table says where each document starts.
+reader takes views of it without copying. Two list columns say which documents start in a sequence: ``doc_id``
+and ``doc_start``, their place in it. A document ends where the next one starts, the last where the mask does.
+The folder's ``manifest`` table names the shards and their files; everything else is read from the files.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import arrow_rows, folder_uri, map_arrow, read_docs, stored
+from .frames import folder_uri, in_parts, map_arrow, read_docs
 
 LENGTH = 2048
 PER_BATCH = 64
@@ -91,8 +94,8 @@ class Encoder:
             self.ends[number] = bool(suffix) and token.endswith(suffix)
         self.chunks, self.words = Recent(KNOWN_CHUNKS), Recent(KNOWN_WORDS)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
     def learn_words(self, words: list[str]) -> None:
         """Encode words many at a time; the last token of each word carries the word end."""
@@ -102,7 +105,7 @@ class Encoder:
             ids = np.array(encoding.ids, dtype=self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(group) or (len(stops) and stops[-1] != len(ids)):
-                self.words.young.update((w, self.whole(w)) for w in group)
+                self.words.young.update((w, self.whole(w).tobytes()) for w in group)
                 continue
             packed, width, start = ids.tobytes(), self.kind.itemsize, 0
             for word, stop in zip(group, stops.tolist()):
@@ -116,19 +119,36 @@ class Encoder:
         for chunk in chunks:
             words = parts.get(chunk)
             if words is None:
-                packed[chunk] = self.whole(chunk)
+                packed[chunk] = self.whole(chunk).tobytes()
             else:
                 packed[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text (none is null). Only the distinct chunks of all texts are looked up; their ids are then gathered."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_chunk:
-            return [self.whole(t) for t in texts]
-        as_whole = {i for i, t in enumerate(texts) if any(m in t for m in self.marks) or any(s in t for s in SEPARATORS)}
-        cuts = [[] if i in as_whole else t.split() for i, t in enumerate(texts)]
-        wanted = set().union(*cuts)
-        self.learn(self.chunks.missing(wanted))
-        get = self.chunks.young.__getitem__
-        return [self.whole(texts[i]) if i in as_whole else b"".join(map(get, cut)) for i, cut in enumerate(cuts)]
+            return [self.whole(t) for t in texts.to_pylist()]
+        odd = np.zeros(len(texts), bool)
+        for mark in (*self.marks, *SEPARATORS):
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if odd.any():
+            texts, whole = pc.if_else(pa.array(odd), "", texts), {i: self.whole(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        cut = pc.utf8_split_whitespace(texts)
+        chunks = cut.flatten().dictionary_encode()
+        distinct, place = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        self.learn(self.chunks.missing({c for c in distinct if c}))
+        known = self.chunks.young
+        packed = [known[c] if c else b"" for c in distinct]  # blanks at either end leave an empty chunk
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        counts = sizes[place]
+        stops = np.cumsum(counts)
+        spots = np.repeat((np.cumsum(sizes) - sizes)[place] - (stops - counts), counts) + np.arange(counts.sum())
+        ids = np.frombuffer(b"".join(packed), self.kind)[spots]
+        ends = np.append(0, stops)[np.cumsum(cut.value_lengths().to_numpy())]
+        out = np.split(ids, ends[:-1])
+        if odd.any():
+            out = [whole.get(i, x) for i, x in enumerate(out)]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -149,23 +169,27 @@ class ShardWriter:
         store, path = fs.FileSystem.from_uri(self.uri)
         self.sink = store.open_output_stream(path)
         values = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema({"ids": pa.list_(values, length), "mask": pa.list_(pa.bool_(), length)})
+        lists = {"ids": pa.list_(values, length), "mask": pa.list_(pa.bool_(), length), "doc_id": pa.list_(pa.int64()), "doc_start": pa.list_(pa.int32())}
+        self.schema = pa.schema(lists)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held = bytearray()
-        self.total = 0
+        self.starting: list[tuple[int | None, int]] = []  # documents that start in what is held, with their place in it
+        self.total = self.documents = 0
 
-    def add(self, ids: bytes) -> tuple[int, int]:
-        """Append one document's packed ids; returns its start in the shard and its length."""
-        start, count = self.total, len(ids) // self.kind.itemsize
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Append one document's packed ids."""
+        self.starting.append((doc_id, len(self.held) // self.kind.itemsize))
         self.held += ids
-        self.total += count
-        full = self.per_batch * self.length * self.kind.itemsize
+        self.total += len(ids) // self.kind.itemsize
+        self.documents += 1
+        room = self.per_batch * self.length
+        full = room * self.kind.itemsize
         while len(self.held) >= full:
-            self.put(bytes(self.held[:full]))
+            self.put(bytes(self.held[:full]), [s for s in self.starting if s[1] < room])
             del self.held[:full]
-        return start, count
+            self.starting = [(i, place - room) for i, place in self.starting if place >= room]
 
-    def put(self, packed: bytes) -> None:
+    def put(self, packed: bytes, starting: list[tuple[int | None, int]]) -> None:
         ids = np.frombuffer(packed, dtype=self.kind)
         gap = -len(ids) % self.length
         mask = np.ones(len(ids) + gap, dtype=bool)
@@ -173,11 +197,15 @@ class ShardWriter:
             mask[len(ids) :] = False
             ids = np.concatenate([ids, np.zeros(gap, dtype=self.kind)])
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        places = np.array([place for _, place in starting], np.int64)
+        offsets = pa.array(np.searchsorted(places, np.arange(len(ids) // self.length + 1) * self.length).astype(np.int32))
+        lists.append(pa.ListArray.from_arrays(offsets, pa.array([i for i, _ in starting], pa.int64())))
+        lists.append(pa.ListArray.from_arrays(offsets, pa.array((places % self.length).astype(np.int32))))
         self.file.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
-            self.put(bytes(self.held))
+            self.put(bytes(self.held), self.starting)
         self.file.close()
         self.sink.close()
 
@@ -216,23 +244,37 @@ class ShardReader:
             start, count = start + len(part), count - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
+    def total(self) -> int:
+        """Ids of the shard, without padding: only the last sequence may have some."""
+        if not self.per_batch:
+            return 0
+        last = self.batch(self.file.num_record_batches - 1)
+        before = ((self.file.num_record_batches - 1) * self.per_batch + last.num_rows - 1) * self.length
+        return before + int(np.count_nonzero(last.column("mask")[last.num_rows - 1].values.to_numpy(zero_copy_only=False)))
+
+    def documents(self) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """Per batch: the documents that start in it, and their places in the shard's stream."""
+        for number in range(self.file.num_record_batches):
+            batch = self.file.get_batch(number)
+            sequence = number * self.per_batch + np.repeat(np.arange(batch.num_rows), batch.column("doc_id").value_lengths().to_numpy())
+            yield batch.column("doc_id").flatten().to_pylist(), sequence * self.length + batch.column("doc_start").flatten().to_numpy()
+
     def close(self) -> None:
         self.source.close()
 
 
-INDEX = "shard int, file string, doc_id long, shard_start long, n_tokens long"
+MANIFEST = "shard int, file string, documents long, n_tokens long"
 
 
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, length: int = LENGTH, per_batch: int = PER_BATCH
 ) -> DataFrame:
-    """Encode every whole text and write the shards below ``folder`` (a URI all executors reach).
+    """Encode every whole text, write the shards below ``folder`` (a URI all executors reach), and return its manifest.
 
-    Returns the index, one row per row of ``docs``: ``shard``, ``file``, ``doc_id``, ``shard_start`` (in the
-    shard's stream), ``n_tokens`` (with the end id) and ``start`` (ids of all rows before it). A null or empty text
+    The manifest has a row per shard: ``shard``, ``file``, ``documents``, ``n_tokens``. It is the table ``folder/manifest``:
+    a task that is repeated writes a new file, and only files of the manifest count. A null or empty text
     is the end id alone. Null ids come first; rows of one id are ordered by text, so repeated rows are adjacent.
-    An empty table writes no file. Columns other than ``doc_id`` and ``text`` are ignored. The index is a written
-    table: a task that is repeated writes a new file, and only files of the index count.
+    An empty table writes no file. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
@@ -240,64 +282,96 @@ def write_token_files(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, shard, writer = encoder(tokenizer), TaskContext.get().partitionId(), None
         close = np.array([end_id], dtype=encoding.kind).tobytes()
-        for part, (ids, texts) in arrow_rows(batches, "doc_id", "text"):
-            if writer is None:
-                writer = ShardWriter(folder, shard, encoding.kind, length, per_batch)
-            places = [writer.add(packed + close) for packed in encoding.encode([t or "" for t in texts])]
-            rows = len(ids)
-            yield pa.record_batch(
-                [pa.array([shard] * rows, pa.int32()), pa.array([writer.uri] * rows), pa.array(ids, pa.int64()),
-                 pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())],
-                names=["shard", "file", "doc_id", "shard_start", "n_tokens"],
-            )
+        for batch in batches:
+            for part in in_parts(batch, 4 << 20):
+                if writer is None:
+                    writer = ShardWriter(folder, shard, encoding.kind, length, per_batch)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoding.encode(part.column("text"))):
+                    writer.add(doc_id, ids.tobytes() + close)
         if writer is not None:
             writer.close()
+            yield pa.record_batch(
+                [pa.array([shard], pa.int32()), pa.array([writer.uri]), pa.array([writer.documents], pa.int64()), pa.array([writer.total], pa.int64())],
+                names=["shard", "file", "documents", "n_tokens"],
+            )
+
+    rows = docs_for_files(docs)
+    map_arrow(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), task, MANIFEST).write.parquet(f"{folder}/manifest")
+    return open_token_files(docs.sparkSession, folder)
+
+
+def docs_for_files(docs: DataFrame) -> DataFrame:
+    return read_docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def open_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder of token files that were written before."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def read_token_files(manifest: DataFrame) -> DataFrame:
+    """Per document ``(doc_id, start, n_tokens, ids_crc32)``, from the files that the manifest names.
+
+    ``start`` counts the ids of all documents before it, of earlier shards too. The checksum is over the ids as
+    little-endian unsigned 32-bit integers. Only ids in unmasked places belong to a document.
+    """
+    files = manifest.select("shard", "file").repartition("shard")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("file").to_pylist():
+                reader = ShardReader(uri)
+                found.append(reader.total())
+                reader.close()
+            yield pa.record_batch([batch.column("shard"), pa.array(found, pa.int64())], names=["shard", "total"])
 
-    rows = read_docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    index = stored(map_arrow(ordered, task, INDEX), "token-index")
     # One row per shard, of which there are as many as partitions.
-    sums = sorted(tuple(r) for r in index.groupBy("shard").agg(F.sum("n_tokens")).collect())
     before, offsets = 0, []
-    for shard, total in sums:
+    for shard, total in sorted(tuple(r) for r in map_arrow(files, totals, "shard int, total long").collect()):
         offsets.append((shard, before))
         before += total
-    bases = index.sparkSession.createDataFrame(offsets, "shard int, base long")
-    placed = index.join(F.broadcast(bases), "shard")
-    return placed.select(*index.columns, (F.col("base") + F.col("shard_start")).alias("start"))
+    bases = files.sparkSession.createDataFrame(offsets, "shard int, base long")
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                reader = ShardReader(uri)
+                yield from digests(reader, base)
+                reader.close()
 
-DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return map_arrow(files.join(F.broadcast(bases), "shard").select("file", "base"), task, DIGEST)
 
 
-def read_token_files(index: DataFrame) -> DataFrame:
-    """Per indexed document ``(doc_id, start, n_tokens, ids_crc32)``, from the files.
+def digests(reader: ShardReader, base: int) -> Iterator[pa.RecordBatch]:
+    """Digest rows of a shard, a batch's documents at a time; a document may reach into the batches that follow."""
 
-    The checksum is over the ids as little-endian unsigned 32-bit integers. Masks are checked on the way: every
-    id of a document must lie in unmasked places.
-    """
+    def rows(ids: list, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        counts = np.diff(np.append(starts, end))
+        sums = [zlib.crc32(reader.span(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), counts.tolist())]
+        return pa.record_batch(
+            [pa.array(ids, pa.int64()), pa.array(base + starts), pa.array(counts), pa.array(sums, pa.int64())],
+            names=["doc_id", "start", "n_tokens", "ids_crc32"],
+        )
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, uri = None, None
-        for part, (files, ids, places, counts, starts) in arrow_rows(batches, "file", "doc_id", "shard_start", "n_tokens", "start"):
-            sums = []
-            for file, place, count in zip(files, places, counts):
-                if file != uri:
-                    if reader is not None:
-                        reader.close()
-                    reader, uri = ShardReader(file), file
-                sums.append(zlib.crc32(reader.span(place, count).astype("<u4").tobytes()))
-                if not reader.sequence((place + count - 1) // reader.length)[1][(place + count - 1) % reader.length]:
-                    raise ValueError(f"masked id in {file}")
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+    held: tuple[list, np.ndarray] | None = None
+    for ids, starts in reader.documents():
+        if not ids:
+            continue
+        if held is not None:
+            yield rows(*held, int(starts[0]))
+        held = (ids, starts.astype(np.int64))
+    if held is not None:
+        yield rows(*held, reader.total())
 
-    return map_arrow(index.select("file", "doc_id", "shard_start", "n_tokens", "start"), task, DIGEST)
 
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
+    """Write ``docs`` as token files in ``folder`` (a new one in the session's shared folder) and return the digest read back.
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write ``docs`` as token files in the session's shared folder and return the digest read back from them."""
-    folder = folder_uri(docs.sparkSession, f"token-files-{uuid.uuid4().hex}")
+    Null, empty and repeated rows: see ``write_token_files``; an empty table gives no rows. ``open_token_files`` reopens a folder.
+    """
+    folder = folder or folder_uri(docs.sparkSession, f"token-files-{uuid.uuid4().hex}")
     return read_token_files(write_token_files(docs, tokenizer, folder, end_id))

@@ -3,10 +3,13 @@
 import json
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import merges_count
 from samples import ordered
@@ -14,7 +17,7 @@ from tokenizers import Tokenizer
 
 from resona.llm.frames import folder_uri
 from resona.llm.token_counts import PIECE, MergeCounter, byte_symbols, token_counts
-from resona.llm.token_files import Encoder, ShardReader, token_files, write_token_files
+from resona.llm.token_files import Encoder, ShardReader, open_token_files, read_token_files, token_files, write_token_files
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -76,18 +79,43 @@ def test_files_read_back(docs, no_docs, rows):
 
 
 def test_sequences_and_masks(spark, docs, rows):
+    library = Tokenizer.from_file(WORDS)
     folder = folder_uri(spark, "sequences")
-    index = write_token_files(docs, WORDS, folder, length=16, per_batch=3).collect()
-    for file in {r["file"] for r in index}:
-        assert re.match("file:///", file)
-        reader, own = ShardReader(file), [r for r in index if r["file"] == file]
-        total = sum(r["n_tokens"] for r in own)
+    manifest = write_token_files(docs, WORDS, folder, length=16, per_batch=3)
+    wanted = sorted((r[0] is not None, r[0] or 0, [*library.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows)
+    seen = []
+    for row in sorted(manifest.collect()):
+        assert re.match("file:///", row["file"])
+        reader, total = ShardReader(row["file"]), row["n_tokens"]
+        assert reader.total() == total
         ids = [reader.sequence(k) for k in range(-(-total // 16))]
         assert all(len(i) == 16 and len(m) == 16 for i, m in ids)
         assert np.concatenate([m for _, m in ids]).tolist() == [k < total for k in range(len(ids) * 16)]
         flat = np.concatenate([i for i, _ in ids])
-        for r in own:
-            place = slice(r["shard_start"], r["shard_start"] + r["n_tokens"])
-            assert flat[place].tolist() == reader.span(r["shard_start"], r["n_tokens"]).tolist()
-            assert flat[place][-1] == 1
+        found = [(i, int(s)) for names, starts in reader.documents() for i, s in zip(names, starts)]
+        assert len(found) == row["documents"]
+        for (i, start), (_, end) in zip(found, [*found[1:], (None, total)]):
+            assert flat[start:end].tolist() == reader.span(start, end - start).tolist()
+            seen.append((i is not None, i or 0, flat[start:end].tolist()))
         reader.close()
+    assert sorted(seen) == wanted
+    # A folder written before is opened by its path alone.
+    assert ordered(read_token_files(open_token_files(spark, folder))) == ordered(token_files(docs, WORDS))
+
+
+def test_a_very_long_text(spark):
+    """20,000 words among short ones, for counts, ids and files."""
+    r = random.Random(6)
+    long = " ".join("".join(r.choice("abcdefgé") for _ in range(r.randrange(1, 9))) for _ in range(20_000))
+    texts = [(1, "short"), (2, long), (3, long[::-1]), (4, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for path, found in ((WORDS, token_files(docs, WORDS)), (BYTES, token_counts(docs, BYTES))):
+        wanted = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch([t for _, t in texts], add_special_tokens=False)]
+        assert [n - (path == WORDS) for _, n in ordered(found, "doc_id", "n_tokens")] == wanted
+
+
+def test_blanks_are_those_of_the_split():
+    """Arrow cuts texts where Python's split does, over all characters."""
+    every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    cut = pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in every])).value_lengths().to_numpy() > 1
+    assert [c for c, k in zip(every, cut) if k] == [c for c in every if c.isspace()]
