@@ -10,10 +10,11 @@ import pytest
 from helpers import records
 from pyspark.sql import functions as F
 
-from resona.operators import graph, nesting, topics
+from resona.operators import graph, kmeans, nesting, topics
 from resona.operators.medians import grouped_mode, split_medians, summarise
 from resona.operators.ranks import add_percent_ranks, add_percent_ranks_of_groups
 from resona.operators.skew import hot_keys, lookup
+from resona.session import Scratch
 
 
 # --- medians, modes, ranks --------------------------------------------------------------------
@@ -246,20 +247,69 @@ def test_terms_and_pruning(spark):
     assert "sun" not in {r.term for r in weights.collect()}
 
 
-@pytest.mark.parametrize("size", [1 << 14, 4])
-def test_vectors_keep_inner_products(spark, size):
-    docs = spark.createDataFrame([("0", "sun wind sun"), ("1", "sun coal"), ("2", "!!")], "id STRING, t STRING")
-    terms = topics.add_terms(docs, "t")
-    weights = topics.term_weights(terms, "id")
-    vectors = {r.id: r.features for r in topics.term_vectors(weights, terms, "id", dimensions=size).collect()}
-    assert set(vectors) == {"0", "1", "2"} and {v.size for v in vectors.values()} == {size}
-    if size > 4:  # no two of these terms share a slot
-        by_doc = {}
-        for r in weights.collect():
-            by_doc.setdefault(r.id, {})[r.term] = r.weight
-        shared = sum(w * by_doc["1"].get(t, 0.0) for t, w in by_doc["0"].items())
-        assert vectors["0"].dot(vectors["1"]) == pytest.approx(shared)
-        assert all(v.dot(v) == pytest.approx(1.0 if i != "2" else 0.0) for i, v in vectors.items())
+def plain_lloyd(vectors, seeds):
+    """Labels, cost and silhouette (squared distances) of dense vectors from the given seeds, lower cluster on a tie."""
+    centres = [vectors[i].copy() if i is not None else None for i in seeds]
+    labels = None
+    while True:
+        apart = np.array([[np.inf if c is None else round(max(((x - c) ** 2).sum(), 0.0), 10) for c in centres] for x in vectors])
+        found = apart.argmin(1)
+        if labels is not None and (found == labels).all():
+            break
+        labels = found
+        centres = [vectors[labels == j].mean(0) if (labels == j).any() else None for j in range(len(seeds))]
+    cost = sum(((x - centres[j]) ** 2).sum() for x, j in zip(vectors, labels))
+    scores = []
+    for i, x in enumerate(vectors):
+        mean = [((vectors[labels == j] - x) ** 2).sum(1).mean() if (labels == j).any() else np.inf for j in range(len(seeds))]
+        size = (labels == labels[i]).sum()
+        inside, outside = mean[labels[i]] * size / max(1, size - 1), min(m for j, m in enumerate(mean) if j != labels[i])
+        scores.append((outside - inside) / max(inside, outside) if size > 1 and max(inside, outside) > 0 else 0.0)
+    return labels.tolist(), cost, float(np.mean(scores))
+
+
+def term_rows(topics_of, r):
+    rows = []
+    for i, topic in enumerate(topics_of):
+        held = {f"{topic}{r.randrange(12)}" for _ in range(6)} | {f"all{r.randrange(5)}" for _ in range(2)} | {f"own{i}"}
+        raw = {t: r.randrange(1, 4) for t in sorted(held)}
+        length = sum(v * v for v in raw.values()) ** 0.5
+        rows += [(f"d{i}", t, v / length) for t, v in raw.items()]
+    return rows
+
+
+@pytest.mark.parametrize("cells", [100_000, 60])
+def test_kmeans_equals_dense_rounds(spark, monkeypatch, cells):
+    monkeypatch.setattr(kmeans, "BLOCK_CELLS", cells)
+    rows = term_rows(["a"] * 14 + ["b"] * 9 + ["c"] * 11 + ["a"] * 3, random.Random(3))
+    rows += [("copy", t, w) for d, t, w in rows if d == "d4"]
+    names = sorted({d for d, *_ in rows} | {"empty"})
+    terms = sorted({t for _, t, _ in rows})
+    dense = np.zeros((len(names), len(terms)))
+    for d, t, w in rows:
+        dense[names.index(d), terms.index(t)] = w
+    scratch = Scratch(spark)
+    weights = spark.createDataFrame(rows, "doc STRING, term STRING, weight DOUBLE")
+    space = kmeans.space_of(weights, spark.createDataFrame([(d,) for d in names], "doc STRING"), "doc", scratch)
+    starts = kmeans.seeds(space, 4, 4, 42, scratch)
+    assert all(len({step[r] for step in starts}) == 4 for r in range(4))
+    for clusters in (2, 4):
+        found = kmeans.fit(space, starts, clusters, scratch)
+        wanted = [plain_lloyd(dense, [names.index(starts[step][r]) for step in range(clusters)]) for r in range(4)]
+        got = {row["doc"]: row["labels"] for row in found.state.collect()}
+        assert [[got[d][r] for d in names] for r in range(4)] == [w[0] for w in wanted]
+        assert found.costs.tolist() == pytest.approx([w[1] for w in wanted])
+        best = min(range(4), key=lambda r: (round(wanted[r][1], 10), r))
+        assert kmeans.silhouette(space, *kmeans.best_restart(found, clusters)) == pytest.approx(wanted[best][2])
+    scratch.clear()
+
+
+def test_kmeans_with_fewer_texts_than_clusters(spark):
+    rows = [(f"{d}{i}", t, 1.0) for d, t in (("x", "sun"), ("y", "coal")) for i in range(4)]
+    weights = spark.createDataFrame(rows, "doc STRING, term STRING, weight DOUBLE")
+    found = topics.assign_clusters(weights, weights.select("doc"), "doc", 8, restarts=3)
+    labels = {r.doc: r.cluster_id for r in found.collect()}
+    assert {labels[f"x{i}"] for i in range(4)} != {labels[f"y{i}"] for i in range(4)} and set(labels.values()) == {0, 1}
 
 
 def test_cluster_counts():
