@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 from .skew import lookup
@@ -17,6 +18,8 @@ from .skew import lookup
 HUB_PART = 20_000
 # (source, vertex) pairs kept per batch of sources.
 BATCH_PAIRS = 20_000_000
+# Folding trees goes on as long as a round folds this share of the vertices left.
+LEAST_FOLDED = 0.001
 # Up to this many edges one task may hold them all, so hubs need no care.
 FEW_EDGES = 500_000
 
@@ -94,98 +97,189 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component_id").agg(F.count(F.lit(1)).alias("component_nodes"))
 
 
-def _fold_leaves(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split off vertices of degree one: (core edges both ways, core vertices with leaf count).
+def _fold_trees(vertices: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fold pendant trees into the vertices they hang on: (edges left, both ways; all vertices with their branches).
 
-    Of two vertices joined only to each other the lower id stays.
+    Of every vertex: ``size`` (itself and its branches), ``squares`` (sum of the branches' squared sizes), and ``core``
+    (still in the graph). A round folds all vertices of degree one; of two that are joined only to each other the lower id
+    stays. Rounds end when few are left to fold: that is only work, as what stays is searched like the rest.
     """
-    arcs = _both_ways(pairs)
-    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
-    arcs = lookup(arcs, degree.withColumn("_arcs", F.col("_degree")), "src", weight="_arcs")
-    ends = degree.select(F.col("src").alias("dst"), F.col("_degree").alias("_other"))
-    arcs = lookup(arcs, ends.withColumn("_arcs", F.col("_other")), "dst", weight="_arcs")
-
-    def folded(degree: str, other: str, own: str, opposite: str) -> Column:
-        return (F.col(degree) == 1) & ((F.col(other) > 1) | (F.col(own) > F.col(opposite)))
-
-    arcs = arcs.select(
-        "src",
-        "dst",
-        folded("_degree", "_other", "src", "dst").alias("_src_leaf"),
-        folded("_other", "_degree", "dst", "src").alias("_dst_leaf"),
-    ).filter("NOT _src_leaf")
-    arcs = cut(arcs)
-    core = arcs.groupBy("src").agg(
-        F.count_if("_dst_leaf").alias("leaves"), F.count_if(~F.col("_dst_leaf")).alias("core_degree")
-    )
-    return arcs.filter("NOT _dst_leaf").select("src", "dst"), core.withColumnRenamed("src", "id")
+    arcs = cut(_both_ways(pairs))
+    known = cut(vertices.select("id", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("squares"), F.lit(True).alias("core")))
+    left = arcs.select("src").distinct().count()
+    while left:
+        degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
+        met = lookup(arcs, degree.withColumn("_arcs", F.col("_degree")), "src", weight="_arcs")
+        ends = degree.select(F.col("src").alias("dst"), F.col("_degree").alias("_other"))
+        met = lookup(met, ends.withColumn("_arcs", F.col("_other")), "dst", weight="_arcs")
+
+        def folded(degree: str, other: str, own: str, opposite: str) -> Column:
+            return (F.col(degree) == 1) & ((F.col(other) > 1) | (F.col(own) > F.col(opposite)))
+
+        met = cut(met.select("src", "dst", folded("_degree", "_other", "src", "dst").alias("_src"), folded("_other", "_degree", "dst", "src").alias("_dst")))
+        leaves = met.filter("_src").select(F.col("src").alias("id"), F.col("dst").alias("onto"))
+        count = leaves.count()
+        if not count:
+            break
+        sizes = leaves.join(known.select("id", "size"), "id")
+        branches = sizes.groupBy(F.col("onto").alias("id")).agg(F.sum("size").alias("_size"), F.sum(F.col("size").cast("double") ** 2).alias("_squares"))
+        known = known.join(branches, "id", "left").join(leaves.select("id", F.lit(True).alias("_leaf")), "id", "left")
+        known = cut(
+            known.select(
+                "id", (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), (F.col("squares") + F.coalesce("_squares", F.lit(0.0))).alias("squares"),
+                (F.col("core") & F.col("_leaf").isNull()).alias("core"),
+            )
+        )
+        arcs = cut(met.filter("NOT _src AND NOT _dst").select("src", "dst"))
+        left -= count
+        if count < LEAST_FOLDED * left:
+            break
+    return arcs, known
 
 
-def betweenness(
-    vertices: DataFrame,
-    edges: DataFrame,
-    components: DataFrame,
-    pivots: int | None = None,
-    batch_pairs: int = BATCH_PAIRS,
-) -> DataFrame:
-    """``(id, betweenness)`` of every vertex, normalised by the number of ordered vertex pairs.
+def _merge_twins(arcs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices with the same neighbours become one: (edges between classes, classes, their members).
 
-    Brandes' accumulation (2001) over all sources at once, level by level: a frontier is a table of
-    (source, vertex, shortest-path count). Vertices of degree one are folded into the weight of
-    their neighbour first, which is exact and removes most of a follower graph. With ``pivots`` only
-    that many sources, chosen by hash, are expanded and the sums scaled up (Brandes and Pich, 2007):
-    an estimate to be asked for where all sources are too many; the default is exact.
+    Neighbourhoods are told apart by their size and two sums of hashes, so no list of neighbours is gathered.
     """
-    pairs = edges.filter("src <> dst")
-    n = vertices.count()
-    arcs, core = _fold_leaves(pairs)
-    core = core.withColumn("vid", F.monotonically_increasing_id()).withColumn("weight", 1 + F.col("leaves"))
-    core = cut(core.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("core_degree") / HUB_PART)).cast("int")))
-    n_core = core.count()
-    if n <= 2 or n_core == 0:
-        return vertices.select("id", F.lit(0.0).alias("betweenness"))
-
-    numbered = core.select("id", "vid", "weight", "parts", F.col("core_degree").alias("_arcs"))
-    source = numbered.select(F.col("id").alias("src"), F.col("vid").alias("v"), F.col("parts").alias("_parts"), "_arcs")
-    target = numbered.select(
-        F.col("id").alias("dst"), F.col("vid").alias("w"), F.col("weight").alias("w_weight"),
-        F.col("parts").alias("w_parts"), "_arcs",
+    low = F.xxhash64("dst").cast("decimal(38,0)")
+    sign = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.sum(low).alias("_a"), F.bit_xor(F.xxhash64(F.lit(7), "dst")).alias("_b"))
+    held = sign.join(known.select(F.col("id").alias("src"), "size"), "src")
+    grouped = held.groupBy("degree", "_a", "_b").agg(
+        F.min("src").alias("name"), F.count(F.lit(1)).alias("members"), F.sum("size").alias("weight"), F.sum(F.col("size").cast("double") ** 2).alias("squares")
     )
-    graph = lookup(lookup(arcs, source, "src", weight="_arcs"), target, "dst", weight="_arcs")
+    classes = cut(grouped.withColumn("vid", F.monotonically_increasing_id()))
+    members = cut(sign.join(classes, ["degree", "_a", "_b"]).select(F.col("src").alias("id"), "vid", "degree"))
+    # One member's edges stand for all.
+    ends = members.select("id", "vid", F.col("degree").alias("_arcs"))
+    first = arcs.join(classes.select(F.col("name").alias("src"), F.col("vid").alias("v")), "src")
+    joined = lookup(first, ends.withColumnsRenamed({"id": "dst", "vid": "w"}), "dst", weight="_arcs").select("v", "w").distinct()
+    return joined, classes.drop("_a", "_b"), members
+
+
+def _reduced(vertices: DataFrame, edges: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What shortest paths have to be counted on: (graph, classes, parts).
+
+    ``parts`` has for every vertex what is known without counting (``exact``: the pairs that folded branches and twins send
+    through it) and its class ``vid``, null for folded vertices.
+    """
+    arcs, known = _fold_trees(vertices, edges.filter("src <> dst"))
+    joined, classes, members = _merge_twins(arcs, known)
+    classes = cut(classes.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("degree") / HUB_PART)).cast("int")))
+    ends = classes.select(F.col("vid").alias("w"), F.col("weight").alias("w_weight"), F.col("members").alias("w_members"), F.col("parts").alias("w_parts"))
+    graph = joined.join(ends, "w").join(classes.select(F.col("vid").alias("v"), F.col("parts").alias("_parts")), "v")
     # The edges of a hub are cut into parts; a frontier row of the hub is sent to each of them.
     graph = cut(
-        graph.select("v", F.pmod(F.xxhash64("w"), F.col("_parts")).cast("int").alias("part"), "w", "w_weight", "w_parts")
+        graph.select("v", F.pmod(F.xxhash64("w"), F.col("_parts")).cast("int").alias("part"), "w", "w_weight", "w_members", "w_parts")
     )
+    # Two members of a class are two steps apart, over any of their neighbours.
+    twins = classes.filter("members > 1").select(F.col("vid").alias("w"), ((F.col("weight").cast("double") ** 2 - F.col("squares")) / F.col("degree")).alias("between"))
+    over = joined.join(twins, "w").groupBy(F.col("v").alias("vid")).agg(F.sum("between").alias("between"))
+    sized = components.join(component_sizes(components), "component_id").select("id", "component_nodes")
+    branches = (F.col("size") - 1).cast("double")
+    through = branches**2 - F.col("squares") + 2 * branches * (F.col("component_nodes") - 1 - branches)
+    parts = known.join(sized, "id").join(members.select("id", "vid"), "id", "left").join(over, "vid", "left")
+    return graph, classes, cut(parts.select("id", "vid", (through + F.coalesce("between", F.lit(0.0))).alias("exact")))
+
+
+def _scored(vertices: DataFrame, parts: DataFrame, sums: DataFrame | None, scale: float) -> DataFrame:
+    """Betweenness from what is known and the sums ``(v, bc)`` of the classes."""
+    known = parts.withColumn("bc", F.lit(0.0)) if sums is None else parts.join(sums.select(F.col("v").alias("vid"), "bc"), "vid", "left")
+    scored = known.select("id", ((F.coalesce("bc", F.lit(0.0)) + F.col("exact")) / scale).alias("betweenness"))
+    # Sums arrive in any order; the last digits are noise and would break ties.
+    return vertices.join(scored, "id", "left").select("id", F.coalesce(F.round("betweenness", 12), F.lit(0.0)).alias("betweenness"))
+
+
+def _start(classes: DataFrame, weight: Column) -> DataFrame:
+    return classes.select(
+        F.col("vid").alias("s"), weight.alias("s_weight"), F.col("vid").alias("v"), F.col("weight").alias("v_weight"),
+        F.lit(1).cast("long").alias("v_members"), "parts", F.lit(1.0).alias("sigma"),
+    )
 
-    sources = core
-    scale_up = 1.0
-    if pivots is not None and pivots < n_core:
-        sources = cut(core.orderBy(F.xxhash64("id"), "id").limit(pivots))
-        weights = core.agg(F.sum("weight")).first()[0], sources.agg(F.sum("weight")).first()[0]
-        scale_up, n_core = weights[0] / weights[1], pivots
 
-    batches = max(1, math.ceil(n_core * core.count() / batch_pairs))
+def betweenness(vertices: DataFrame, edges: DataFrame, components: DataFrame, batch_pairs: int = BATCH_PAIRS) -> DataFrame:
+    """``(id, betweenness)`` of every vertex, normalised by the number of ordered vertex pairs. Exact.
+
+    Brandes' accumulation (2001) over all sources at once, level by level: a frontier is a table of
+    (source, vertex, shortest-path count). Before, pendant trees are folded into weights and vertices with equal
+    neighbours are merged into one with a number of members; both are exact, and leave little of a follower graph. The work
+    that remains is classes times edges; ``betweenness_estimate`` is for graphs where that is too much.
+    """
+    n = vertices.count()
+    if n <= 2:
+        return vertices.select("id", F.lit(0.0).alias("betweenness"))
+    graph, classes, parts = _reduced(vertices, edges, components)
+    count = classes.count()
+    batches = max(1, math.ceil(count * count / batch_pairs))
     total = None
     for batch in range(batches):
-        start = sources.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+        start = _start(classes.filter(F.pmod(F.xxhash64("vid"), F.lit(batches)) == batch), F.col("weight"))
         part = _accumulate(start, graph)
         if part is not None:
             total = part if total is None else cut(total.unionByName(part).groupBy("v").agg(F.sum("bc").alias("bc")))
+    return _scored(vertices, parts, total, float((n - 1) * (n - 2)))
 
-    sized = components.join(component_sizes(components), "component_id").select("id", "component_nodes")
-    known = core.select("id", "vid", "leaves").join(sized, "id", "left")
-    if total is not None:
-        known = known.join(total.withColumnRenamed("v", "vid"), "vid", "left")
+
+def betweenness_estimate(
+    vertices: DataFrame, edges: DataFrame, components: DataFrame, error: float, confidence: float = 0.99, seed: int = 1
+) -> DataFrame:
+    """``(id, betweenness)`` that lies within ``error`` of the exact value for all vertices at once, with probability
+    ``confidence`` at least.
+
+    Sources are drawn with replacement, in proportion to the vertices they stand for, twice as many in each round, until an
+    empirical Bernstein bound (Maurer and Pontil, 2009), shared among all classes and rounds, is below ``error`` for every
+    class. What folded trees and twins contribute is exact. The number of sources does not grow with the graph, but for a
+    logarithm; if it reaches that of all sources, the exact values are returned.
+    """
+    n = vertices.count()
+    if n <= 2:
+        return vertices.select("id", F.lit(0.0).alias("betweenness"))
+    graph, classes, parts = _reduced(vertices, edges, components)
+    count, whole = classes.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    scale = float((n - 1) * (n - 2))
+    if not count:
+        return _scored(vertices, parts, None, scale)
+    # One draw's value is at most `most`: a source meets n - 2 others at most.
+    most = whole * (n - 2) / scale
+    rounds = max(1, math.ceil(math.log2(count)) + 1)
+    log_term = math.log(4 * count * rounds / (1 - confidence))
+    sums, draws, wanted = None, 0, max(16, math.ceil(7 * most * log_term / (3 * error)))
+    for turn in range(rounds):
+        if draws + wanted >= count:
+            return betweenness(vertices, edges, components)
+        chosen = _drawn(classes, whole, wanted, seed + turn)
+        part = _accumulate(_start(chosen, F.col("draws")), graph)
+        draws += wanted
+        if part is not None:
+            sums = part if sums is None else cut(sums.unionByName(part).groupBy("v").agg(F.sum("bc").alias("bc"), F.sum("squares").alias("squares")))
+        spread = 0.0
+        if sums is not None:
+            mean = F.col("bc") / draws
+            variance = F.greatest((F.col("squares") / draws - mean * mean) * draws / max(1, draws - 1), F.lit(0.0))
+            spread = (sums.agg(F.max(variance)).first()[0] or 0.0) * (whole / scale) ** 2
+        if math.sqrt(2 * spread * log_term / draws) + 7 * most * log_term / (3 * max(1, draws - 1)) <= error:
+            break
+        wanted = draws
     else:
-        known = known.withColumn("bc", F.lit(0.0))
-    leaves = F.col("leaves").cast("double")
-    through_leaves = 2 * leaves * (F.col("component_nodes") - 1 - leaves) + leaves * (leaves - 1)
-    score = (F.coalesce("bc", F.lit(0.0)) * scale_up + through_leaves) / float((n - 1) * (n - 2))
-    scored = known.select("id", score.alias("betweenness"))
-    # Sums arrive in any order; the last digits are noise and would break ties.
-    return vertices.join(scored, "id", "left").select(
-        "id", F.coalesce(F.round("betweenness", 12), F.lit(0.0)).alias("betweenness")
-    )
+        return betweenness(vertices, edges, components)
+    scaled = None if sums is None else sums.select("v", (F.col("bc") * (whole / draws)).alias("bc"))
+    return _scored(vertices, parts, scaled, scale)
+
+
+def _drawn(classes: DataFrame, whole: int, draws: int, seed: int) -> DataFrame:
+    """Classes with how often they are drawn: random places along the running sum of all weights."""
+    # By the order of vid, in ranges whose sums are known first; a range's running sum stays within it.
+    ranges = classes.withColumn("range", F.shiftright("vid", 33))  # the task that numbered the class
+    sums = sorted(tuple(r) for r in ranges.groupBy("range").agg(F.sum("weight")).collect())  # a row per task
+    before = np.append(0, np.cumsum([w for _, w in sums]))
+    places = np.sort(np.random.default_rng(seed).integers(0, whole, draws))
+    at = np.searchsorted(before, places, "right") - 1
+    rows = [(sums[r][0], int(p - before[r])) for r, p in zip(at.tolist(), places.tolist())]
+    spots = classes.sparkSession.createDataFrame(rows, "range long, place long").groupBy("range").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    upto = F.sum("weight").over(Window.partitionBy("range").orderBy("vid"))
+    met = ranges.withColumn("upto", upto).join(F.broadcast(spots), "range")  # no more than the draws
+    hits = F.size(F.filter("places", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("weight"))))
+    return cut(met.withColumn("draws", hits).filter("draws > 0").select(*classes.columns, "draws"))
 
 
 def _expand(frontier: DataFrame, graph: DataFrame, carried: list[str]) -> DataFrame:
@@ -195,21 +289,14 @@ def _expand(frontier: DataFrame, graph: DataFrame, carried: list[str]) -> DataFr
 
 
 def _accumulate(start: DataFrame, graph: DataFrame) -> DataFrame | None:
-    """Sum over the given sources of (source weight x dependency) per vertex, as ``(v, bc)``."""
-    levels = [
-        cut(
-            start.select(
-                F.col("vid").alias("s"), F.col("weight").alias("s_weight"), F.col("vid").alias("v"),
-                F.col("weight").alias("v_weight"), "parts", F.lit(1.0).alias("sigma"),
-            )
-        )
-    ]
+    """Per class the sums over the given sources of weight x dependency of one member, and x its square, as ``(v, bc, squares)``."""
+    levels = [cut(start)]
     while True:
         reached = (
-            _expand(levels[-1], graph, ["s_weight", "sigma"])
+            _expand(levels[-1].withColumn("sigma", F.col("sigma") * F.col("v_members")), graph, ["s_weight", "sigma"])
             .groupBy("s", "w")
             .agg(
-                F.max("s_weight").alias("s_weight"), F.max("w_weight").alias("v_weight"),
+                F.max("s_weight").alias("s_weight"), F.max("w_weight").alias("v_weight"), F.max("w_members").alias("v_members"),
                 F.max("w_parts").alias("parts"), F.sum("sigma").alias("sigma"),
             )
             .withColumnRenamed("w", "v")
@@ -217,7 +304,7 @@ def _accumulate(start: DataFrame, graph: DataFrame) -> DataFrame | None:
         # A neighbour of level i lies on level i-1, i or i+1.
         for earlier in levels[-2:]:
             reached = reached.join(earlier.select("s", "v"), ["s", "v"], "left_anti")
-        reached = cut(reached.select("s", "s_weight", "v", "v_weight", "parts", "sigma"))
+        reached = cut(reached.select("s", "s_weight", "v", "v_weight", "v_members", "parts", "sigma"))
         if reached.isEmpty():
             break
         levels.append(reached)
@@ -230,8 +317,11 @@ def _accumulate(start: DataFrame, graph: DataFrame) -> DataFrame | None:
         if below is not None:
             level = level.join(below, ["s", "v"], "left")
             dependency = F.coalesce("delta", F.lit(0.0))
-        level = level.withColumn("delta", dependency).withColumn("q", (F.col("v_weight") + F.col("delta")) / F.col("sigma"))
-        part = level.filter("delta > 0").groupBy("v").agg(F.sum(F.col("s_weight") * F.col("delta")).alias("bc"))
+        level = level.withColumn("delta", dependency)
+        level = level.withColumn("q", (F.col("v_weight") + F.col("v_members") * F.col("delta")) / F.col("sigma"))
+        part = level.filter("delta > 0").groupBy("v").agg(
+            F.sum(F.col("s_weight") * F.col("delta")).alias("bc"), F.sum(F.col("s_weight") * F.col("delta") ** 2).alias("squares")
+        )
         sums = part if sums is None else sums.unionByName(part)
         if depth > 1:
             received = _expand(level, graph, ["q"]).groupBy("s", "w").agg(F.sum("q").alias("q"))
@@ -241,4 +331,4 @@ def _accumulate(start: DataFrame, graph: DataFrame) -> DataFrame | None:
                     "s", "v", (F.col("sigma") * F.col("q")).alias("delta")
                 )
             )
-    return None if sums is None else cut(sums.groupBy("v").agg(F.sum("bc").alias("bc")))
+    return None if sums is None else cut(sums.groupBy("v").agg(F.sum("bc").alias("bc"), F.sum("squares").alias("squares")))

@@ -55,7 +55,7 @@ def write_core(
     return core, written
 
 
-def insight_tables(core: Mapping[str, DataFrame], min_views: float = 1000, pivots: int | None = None) -> dict[str, DataFrame]:
+def insight_tables(core: Mapping[str, DataFrame], min_views: float = 1000, error: float | None = None) -> dict[str, DataFrame]:
     metrics = core["post_metrics"]
     tables = {
         **top_posts(metrics, min_views=min_views),
@@ -67,7 +67,7 @@ def insight_tables(core: Mapping[str, DataFrame], min_views: float = 1000, pivot
         ),
         "creator_bridge_metrics": creator_bridge_metrics(
             core["posts_author"], core["authors"], core["authorfollowers"], core["authorfollowings"], metrics,
-            pivots=pivots,
+            error=error,
         ),
     }
     if "posts_summaries" in core:
@@ -92,14 +92,14 @@ def run(
     url_prefix: str,
     summaries: DataFrame | None = None,
     min_views: float = 1000,
-    pivots: int | None = None,
+    error: float | None = None,
     with_text: bool = True,
 ) -> DataFrame:
     """Build everything below ``out`` and return the manifest (core and insight tables)."""
     out = out.rstrip("/")
     core, written = write_core(spark, raw, f"{out}/core", url_prefix, summaries)
     written += write_tables(
-        insight_tables(core, min_views, pivots), f"{out}/analytics", "analytics", "csv", arrays_as_text=("theme_labels",)
+        insight_tables(core, min_views, error), f"{out}/analytics", "analytics", "csv", arrays_as_text=("theme_labels",)
     )
     if with_text:
         write_tables(text_tables(core), f"{out}/analytics", "analytics", "csv", arrays_as_text=("theme_labels",))

@@ -8,6 +8,7 @@ from ..functions.numbers import creator_scale, number, number_or_null, ratio, ro
 from ..functions.rulesets import BRIDGE_WEIGHTS
 from ..operators.graph import (
     betweenness,
+    betweenness_estimate,
     connected_components,
     component_sizes,
     degrees,
@@ -88,12 +89,18 @@ def creator_bridge_metrics(
     followers: DataFrame,
     followings: DataFrame,
     post_metrics: DataFrame,
-    pivots: int | None = None,
+    error: float | None = None,
 ) -> DataFrame:
-    """Posts with their creator's degree, betweenness and component, and a blended bridge score."""
+    """Posts with their creator's degree, betweenness and component, and a blended bridge score.
+
+    With ``error`` the betweenness is an estimate within that error (of values from 0 to 1), else exact.
+    """
     vertices, edges = creator_graph(posts_author, followers, followings)
     components = cut(connected_components(vertices, edges))
-    central = betweenness(vertices, edges, components, pivots=pivots)
+    if error is None:
+        central = betweenness(vertices, edges, components)
+    else:
+        central = betweenness_estimate(vertices, edges, components, error)
 
     author = F.col("author_id").cast("string")
     base = posts_author.select(

@@ -218,15 +218,53 @@ def test_tiny_graphs(spark, links):
     assert got == pytest.approx(brute_betweenness(nodes, links))
 
 
-def test_pivots_estimate(spark):
-    nodes, links = random_graph(3)
+def reducible_graph(kind):
+    """Chains around a star, twins with branches of their own, or all of these on a random graph."""
+    stars = [("hub", f"s{i}") for i in range(5)] + [(f"s{i}", f"t{i}") for i in range(5)] + [(f"t{i}", f"u{i}") for i in range(3)] + [("u1", "v"), ("u1", "w")]
+    twins = [(f"x{i}", y) for i in range(6) for y in ("y1", "y2", "y3")] + [("y1", "z"), ("z", "y4"), ("y4", "x0"), ("x1", "leaf"), ("leaf", "leaf2"), ("x2", "own")]
+    if kind == "stars":
+        return stars
+    if kind == "twins":
+        return twins
+    return stars + twins + random_graph(4)[1] + [("hub", "y1"), ("z", random_graph(4)[0][0])]
+
+
+def graph_tables(spark, links):
     edges = graph.undirected_edges(spark.createDataFrame(links, "a STRING, b STRING"))
-    vertices = graph.vertices_of(edges, spark.createDataFrame([(v,) for v in nodes], "id STRING"))
-    components = graph.connected_components(vertices, edges)
+    vertices = graph.vertices_of(edges, spark.createDataFrame([("lonely",)], "id STRING"))
+    return vertices, edges, graph.connected_components(vertices, edges)
+
+
+@pytest.mark.parametrize("kind,left", [("stars", 0), ("twins", 5), ("all", None)])
+def test_reduced_graphs(spark, kind, left):
+    links = reducible_graph(kind)
+    nodes = sorted({x for e in links for x in e} | {"lonely"})
+    tables = graph_tables(spark, links)
+    _, classes, _ = graph._reduced(*tables)
+    count = classes.count()
+    assert count < len(nodes) and (left is None or count <= left + 3)
+    assert {r.id: r.betweenness for r in graph.betweenness(*tables).collect()} == pytest.approx(brute_betweenness(nodes, links), abs=1e-9)
+
+
+def test_estimate_keeps_its_error(spark):
+    r = random.Random(5)
+    nodes = [f"n{i:03d}" for i in range(140)]
+    links = sorted({tuple(sorted(r.sample(nodes[: 20 if r.random() < 0.5 else 140], 2))) for _ in range(420)})
+    nodes = sorted({x for e in links for x in e} | {"lonely"})
+    tables = graph_tables(spark, links)
     exact = brute_betweenness(nodes, links)
-    every = {r.id: r.betweenness for r in graph.betweenness(vertices, edges, components, pivots=10**6).collect()}
-    some = {r.id: r.betweenness for r in graph.betweenness(vertices, edges, components, pivots=5).collect()}
-    assert every == pytest.approx(exact, abs=1e-9) and some.keys() == exact.keys() and min(some.values()) >= 0
+    found = {r.id: r.betweenness for r in graph.betweenness_estimate(*tables, error=0.6, confidence=0.9).collect()}
+    off = max(abs(found[v] - exact[v]) for v in nodes)
+    assert found.keys() == exact.keys() and 0 < off <= 0.6
+    # Where the bound asks for all sources, the values are exact.
+    assert {r.id: r.betweenness for r in graph.betweenness_estimate(*tables, error=0.01).collect()} == pytest.approx(exact, abs=1e-9)
+
+
+def test_draws_follow_the_weights(spark):
+    rows = [(i, w) for i, w in enumerate([1, 5, 0, 30, 64])]
+    classes = spark.createDataFrame(rows, "vid LONG, weight LONG").unionByName(spark.createDataFrame([(1 << 33, 100)], "vid LONG, weight LONG"))
+    drawn = {r.vid: r.draws for r in graph._drawn(classes, 200, 20_000, 3).collect()}
+    assert sum(drawn.values()) == 20_000 and all(abs(drawn.get(v, 0) - 100 * w) < 5 * (100 * w) ** 0.5 + 1 for v, w in [*rows, (1 << 33, 100)])
 
 
 # --- topics -----------------------------------------------------------------------------------

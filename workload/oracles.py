@@ -147,7 +147,7 @@ vertices AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges UNION SELEC
 arcs AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
 degree AS (SELECT a AS id, count(*) AS degree FROM arcs GROUP BY a)"""
 
-# Shortest-path counting unrolled over more levels than the graph is wide; deeper levels are empty.
+# Shortest-path counting unrolled over more levels than the graph is wide; the SQL fails if the last one is not empty.
 LEVELS = 12
 
 
@@ -171,7 +171,8 @@ def betweenness_sql() -> str:
     ctes.append(
         f"""central AS MATERIALIZED (SELECT id, coalesce(round(total / ((n - 1) * (n - 2)), 12), 0.0) AS betweenness
   FROM vertices LEFT JOIN (SELECT v, sum(delta) AS total FROM ({union}) GROUP BY v) ON id = v,
-  (SELECT CAST(count(*) AS DOUBLE) AS n FROM vertices))"""
+  (SELECT CAST(count(*) AS DOUBLE) AS n FROM vertices),
+  (SELECT CASE WHEN count(*) > 0 THEN error('the graph is wider than the unrolled levels') END AS too_deep FROM f{LEVELS}))"""
     )
     return ",\n".join(ctes)
 
