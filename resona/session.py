@@ -58,18 +58,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Stored tables that are deleted once the last table read from them has been written."""
+    """Stored tables and broadcast values that go once the last table made from them has been written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.shared = spark, [], []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
         self.paths.append(path)
         return written(df, path)
 
+    def broadcast(self, value):
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def clear(self) -> None:
-        """Nothing that is still to be computed may read these tables."""
+        """Nothing that is still to be computed may read these."""
         for path in self.paths:
             self.spark.range(0).write.mode("overwrite").parquet(path)
-        self.paths = []
+        for value in self.shared:
+            value.destroy()
+        self.paths, self.shared = [], []
