@@ -27,6 +27,9 @@ from .frames import Scratch, arrow_rows, in_parts, map_arrow, read_docs, stored
 from .shingles import mixed, shingle_set
 
 
+# Sets are never larger than this; bands are made by rule, so that no pass over the data has to find their number.
+LARGEST = 1 << 40
+NO_KEYS = np.empty(0, np.int64)
 HALVES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -100,38 +103,37 @@ def identity(hashes: np.ndarray) -> tuple[int, int, int]:
 SET_KEY = ["n", "sum_a", "sum_b"]
 
 
-def set_rows(docs: DataFrame, width: int, mode: str, percent: int, bits: np.ndarray | None = None, largest: int = 0) -> DataFrame:
-    """Rows ``doc_id, n, sum_a, sum_b`` per document with a shingle; with the whole ``shingles``, or per cell with ``cell``,
-    ``least`` and ``keys``, by mode.
+def set_rows(docs: DataFrame, width: int, mode: str = "", percent: int = 0, chosen=None) -> DataFrame:
+    """Rows ``doc_id, n, sum_a, sum_b`` per document; by mode with the whole ``shingles``, or with the ``keys`` of all cells
+    and per cell its number (``cell``), ``least`` and number of keys (``held``).
 
-    ``bits`` keeps only documents whose id is in the bitmap.
+    ``chosen``, a broadcast bitmap, keeps only documents whose id is in it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, Bands(percent, largest)))
-    extra = {"keys": ", cell int, least int, keys array<long>", "shingles": ", shingles array<long>"}.get(mode, "")
-    names = ["doc_id", *SET_KEY, *{"keys": ["cell", "least", "keys"], "shingles": ["shingles"]}.get(mode, [])]
+    extra = {"keys": {"cell": "array<int>", "least": "array<int>", "held": "array<int>", "keys": "array<long>"}, "shingles": {"shingles": "array<long>"}}.get(mode, {})
+    bands = Bands(percent, LARGEST) if mode == "keys" else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, bands = shared.value
         for batch in batches:
             if chosen is not None:
-                batch = batch.filter(pa.array(hits(chosen, batch.column("place").to_numpy())))
+                batch = batch.filter(pa.array(hits(chosen.value, batch.column("place").to_numpy())))
             for _, (ids, texts) in arrow_rows([batch], "doc_id", "text", most_bytes=2 << 20):
                 rows, lists = [], []
                 for i, text in zip(ids, texts):
                     found = shingle_set(text, width)
+                    rows.append((i, *identity(found)))
                     if mode == "keys":
-                        for cell, least, keys in slice_keys(found, bands):
-                            rows.append((i, *identity(found), cell, least))
-                            lists.append(keys)
-                    else:
-                        rows.append((i, *identity(found)))
-                        lists.append(found.view(np.int64) if mode else None)
-                if rows:
-                    columns = [pa.array(c, pa.int32() if k >= 4 else pa.int64()) for k, c in enumerate(zip(*rows))]
-                    yield pa.record_batch([*columns, pa.array(lists, pa.list_(pa.int64()))] if mode else columns, names=names)
+                        cells = slice_keys(found, bands)
+                        keys = [k for _, _, k in cells]
+                        lists.append(([c for c, _, _ in cells], [x for _, x, _ in cells], list(map(len, keys)), np.concatenate(keys) if keys else NO_KEYS))
+                    elif mode:
+                        lists.append((found.view(np.int64),))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                kinds = [pa.list_(pa.int64() if "long" in kind else pa.int32()) for kind in extra.values()]
+                columns += [pa.array(c, kind) for c, kind in zip(zip(*lists), kinds)]
+                yield pa.record_batch(columns, names=["doc_id", *SET_KEY, *extra])
 
     rows = docs.select("doc_id", "text", place(F.col("doc_id")).alias("place"))
-    return map_arrow(rows, task, "doc_id long, n long, sum_a long, sum_b long" + extra)
+    return map_arrow(rows, task, ", ".join(["doc_id long, n long, sum_a long, sum_b long", *[f"{k} {v}" for k, v in extra.items()]]))
 
 
 def set_nodes(rows: DataFrame) -> DataFrame:
@@ -214,35 +216,42 @@ def around_hubs(compared: DataFrame, components: DataFrame, percent: int, scratc
     return both.filter(linked(F.col("n1"), F.col("n2"), differ, percent)).select(F.least("node1", "node2").alias("src"), F.greatest("node1", "node2").alias("dst"))
 
 
-def similar_slices(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(key, node, copies)``: the slices by which nodes may have partners.
+def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, node, copies)``: the slices by which nodes may have partners, from the keys of all documents.
 
     Similar nodes share ``least`` of a cell's keys. Nodes that share fewer with anyone are dropped, which makes further
     keys rare, and so on. Of the others' shared keys, all but the ``least - 1`` most frequent ones are enough.
     """
-    scratch = Scratch(docs.sparkSession)
-    largest = nodes.agg(F.max("n")).first()[0] or 1
-    wanted = bitmap(nodes.select(place(F.col("rep"))))
-    keyed = scratch.stored(set_rows(docs, width, "keys", percent, wanted, largest), "set-keys")
-    shared = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
-    shared = scratch.stored(shared.filter("n_key > 1").select("key"), "shared-keys")
-    frequent = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select(F.pmod("key", F.lit(1 << 26)))))
-    columns = ["doc_id", *SET_KEY, "cell", "least"]
+    scratch = Scratch(keyed.sparkSession)
+    # Documents that stand for a node, by bitmap; the join below drops what hits it by chance.
+    first = scratch.broadcast(bitmap(nodes.select(place(F.col("rep")))))
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("keys").filter(pa.array(hits(first.value, batch.column("place").to_numpy())))], ["keys"])
+
+    placed = keyed.filter("doc_id IS NOT NULL").withColumn("place", place(F.col("doc_id")))
+    shared = map_arrow(placed.select("place", "keys"), standing, "keys array<long>").select(F.explode("keys").alias("key"))
+    shared = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1").select("key")
+    shared = scratch.stored(shared, "shared-keys")
+    frequent = scratch.broadcast(bitmap(shared.select(F.pmod("key", F.lit(1 << 26)))))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = frequent.value
         for batch in batches:
+            batch = batch.filter(pa.array(hits(first.value, batch.column("place").to_numpy())))
             for part in in_parts(batch):
-                lists = part.column("keys")
-                keys = lists.flatten().to_numpy(zero_copy_only=False)
-                owners = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                met = hits(bits, keys & ((1 << 26) - 1))
-                enough = np.bincount(owners[met], minlength=part.num_rows) >= part.column("least").to_numpy()
+                keys = part.column("keys").flatten().to_numpy(zero_copy_only=False)
+                held, least, cell = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("held", "least", "cell"))
+                met = hits(frequent.value, keys & ((1 << 26) - 1))
+                owners = np.repeat(np.arange(len(held)), held)  # of each key, its document's cell
+                enough = np.bincount(owners[met], minlength=len(held)) >= least
                 met &= enough[owners]
-                at = pa.array(owners[met])
-                yield pa.record_batch([*[part.column(c).take(at) for c in columns], pa.array(keys[met])], names=[*columns, "key"])
+                owner = owners[met]
+                rows = np.repeat(np.arange(part.num_rows), part.column("cell").value_lengths().to_numpy())[owner]
+                columns = [part.column(c).take(pa.array(rows)) for c in ("doc_id", *SET_KEY)]
+                yield pa.record_batch([*columns, pa.array(cell[owner]), pa.array(least[owner]), pa.array(keys[met])], names=["doc_id", *SET_KEY, "cell", "least", "key"])
 
-    rows = map_arrow(keyed, thinned, "doc_id long, n long, sum_a long, sum_b long, cell int, least int, key long")
+    rows = map_arrow(placed, thinned, "doc_id long, n long, sum_a long, sum_b long, cell int, least int, key long")
     named = nodes.select(*SET_KEY, F.col("rep").alias("doc_id"), "node", "copies")
     rows = rows.join(shared, "key").join(named, [*SET_KEY, "doc_id"]).select("key", "node", "cell", "least", "copies").distinct()
     rows = scratch.stored(rows, "slices")
@@ -261,23 +270,32 @@ def similar_slices(docs: DataFrame, nodes: DataFrame, width: int, percent: int)
     return members
 
 
-def components_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, c)`` for all nodes."""
-    found = connected_components(nodes.select(F.col("node").alias("id")), links)
-    return found.select(F.col("id").alias("node"), F.col("component_id").alias("c"))
-
-
-def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of all rows, nodes (distinct sets), and links between nodes that connect all that are similar."""
-    base = stored(set_rows(docs, width, "", percent), "sets")
+def merged(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, c)`` after further links: only those that links join are looked at."""
+    one = components.select(F.col("node").alias("src"), F.col("c").alias("a"))
+    two = components.select(F.col("node").alias("dst"), F.col("c").alias("b"))
+    ends = links.join(one, "src").join(two, "dst").filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    ends = scratch.stored(ends, "joins")
+    if ends.isEmpty():
+        return components
+    found = connected_components(ends.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), ends)
+    found = found.select(F.col("id").alias("c"), "component_id")
+    return scratch.stored(components.join(found, "c", "left").select("node", F.coalesce("component_id", "c").alias("c")), "components")
+
+
+def linked_nodes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, nodes (distinct sets), links that connect all nodes that are similar, and the components ``(node, c)``
+    of those that may have partners."""
+    scratch, first = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    keyed = first.stored(set_rows(docs, width, "keys", percent), "set-keys")
+    base = stored(keyed.select("doc_id", *SET_KEY), "sets")
     nodes = stored(set_nodes(base), "set-nodes")
-    scratch = Scratch(docs.sparkSession)
-    buckets = scratch.stored(with_hubs(similar_slices(docs, nodes, width, percent)), "buckets")
-    involved = scratch.stored(buckets.select("node").distinct(), "involved")
-    named = involved.join(nodes, "node").select("node", *SET_KEY, F.col("rep").alias("doc_id"))
-    chosen = bitmap(named.select(place(F.col("doc_id"))))
-    sets = set_rows(docs, width, "shingles", percent, chosen).join(named, ["doc_id", *SET_KEY]).select("node", "n", "shingles")
-    sets = scratch.stored(sets.dropDuplicates(["node"]), "involved-sets")
+    buckets = scratch.stored(with_hubs(similar_slices(keyed, nodes)), "buckets")
+    first.clear()
+    involved = scratch.stored(buckets.select("node").distinct().join(nodes, "node").select("node", *SET_KEY, F.col("rep").alias("doc_id")), "involved")
+    chosen = scratch.broadcast(bitmap(involved.select(place(F.col("doc_id")))))
+    sets = set_rows(docs.filter("doc_id IS NOT NULL"), width, "shingles", chosen=chosen).join(involved, ["doc_id", *SET_KEY])
+    sets = scratch.stored(sets.select("node", "n", "shingles").dropDuplicates(["node"]), "involved-sets")
 
     def compare(pairs: DataFrame) -> DataFrame:
         found = differences(pairs, sets)
@@ -289,18 +307,19 @@ def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     # Every node and its best hub.
     pairs = buckets.filter("hub <> node").groupBy("node").agg(F.max("top").alias("top")).select((-F.col("top.first")).alias("hub"), "node")
     around = compare(pairs)
-    links = scratch.stored(links_of(around), "links")
-    components = scratch.stored(components_of(involved, links), "components")
+    links = links_of(around)
+    components = merged(involved.select("node", F.col("node").alias("c")), links, scratch)
     # Buckets whose nodes are not all joined: all their nodes and their hub.
     rest = buckets.join(components, "node")
     apart = rest.groupBy("key").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("key")
     rest = scratch.stored(rest.join(apart, "key").select("key", "node", "copies", "hub"), "apart")
-    around = around.unionByName(compare(rest.filter("hub <> node").select("hub", "node").distinct().join(pairs, ["hub", "node"], "left_anti")))
+    known = around.select("hub", "node")
+    around = around.unionByName(compare(rest.filter("hub <> node").select("hub", "node").distinct().join(known, ["hub", "node"], "left_anti")))
     more = links_of(around)
+    links = links.unionByName(more).distinct()
     # Further hubs among those that their bucket's hubs do not join, as long as that finds links.
     while True:
-        links = scratch.stored(links.unionByName(more).distinct(), "links")
-        components = scratch.stored(components_of(involved, links), "components")
+        components = merged(components, more, scratch)
         of_hub = components.select(F.col("node").alias("hub"), F.col("c").alias("c_hub"))
         others = rest.join(components, "node").join(of_hub, "hub").filter("c <> c_hub").select("key", "node", "copies")
         rest = scratch.stored(with_hubs(others).select("key", "node", "copies", "hub"), "apart")
@@ -308,9 +327,17 @@ def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
         more = links_of(compare(pairs))
         if more.isEmpty():
             break
-    links = stored(links.unionByName(around_hubs(around, components, percent, scratch)).distinct(), "links")
+        links = links.unionByName(more)
+    more = scratch.stored(around_hubs(around, components, percent, scratch), "last-links")
+    components = stored(merged(components, more, scratch), "node-components")
+    links = stored(links.unionByName(more).distinct(), "links")
     scratch.clear()
-    return base, nodes, links
+    return base, nodes, links, components
+
+
+def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, nodes (distinct sets), and links between nodes that connect all that are similar."""
+    return linked_nodes(docs, width, percent)[:3]
 
 
 def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -330,10 +357,8 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def set_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, sum_a, sum_b, component_id`` per row of ``docs``: the components with the sets they are found by."""
     rows = read_docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base, nodes, links = shingle_links(rows, width, percent)
-    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    components = connected_components(ends, links).withColumnRenamed("id", "node")
-    joined = stored(nodes.join(components, "node", "left").select(*SET_KEY, "rep", F.coalesce("component_id", "node").alias("c")), "set-components")
+    base, nodes, _, components = linked_nodes(rows, width, percent)
+    joined = stored(nodes.join(components, "node", "left").select(*SET_KEY, "rep", F.coalesce("c", "node").alias("c")), "set-components")
     lowest = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_set = joined.join(lowest, "c").select(*SET_KEY, "component_id")
     out = base.join(by_set, SET_KEY, "left")
@@ -360,7 +385,7 @@ def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if not split.isEmpty():
         # The texts of these ids, told apart by hash, with the sets that stay.
         texts = read_docs(again).select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-        sets = set_rows(texts, width, "", percent).withColumnRenamed("doc_id", "hash")
+        sets = set_rows(texts, width).withColumnRenamed("doc_id", "hash")
         stay = found.join(twice, "doc_id", "left_semi").filter(~goes)
         stay = stored(stay.join(sets, SET_KEY).select("doc_id", "hash").distinct(), "staying-texts")
         again = again.join(stay, (again["doc_id"].cast("long") == stay["doc_id"]) & (F.xxhash64(again["text"]) == stay["hash"]), "left_semi")
