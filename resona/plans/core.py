@@ -28,7 +28,6 @@ from ..operators.nesting import (
     flatten_struct,
     scalar_columns,
 )
-from ..operators.skew import lookup
 
 STATS_COLUMNS = (
     "stats_followingCount",
@@ -82,7 +81,7 @@ def build_post_metrics(
 ) -> DataFrame:
     """Posts with the number of captured hashtags, images and comments and the mean comment likes.
 
-    The three sources are counted in one grouping by post, joined back once.
+    The three sources are counted in one grouping by post, joined back once. Posts have a row per id, so no key is hot.
     """
     zero = F.lit(0).cast("long")
     one = F.lit(1).cast("long")
@@ -103,7 +102,8 @@ def build_post_metrics(
         .groupBy("video_id")
         .agg(*[F.sum(c).alias(c) for c in counts], F.sum("_likes").alias("_likes"))
     )
-    out = lookup(posts, per_post, "video_id")
+    out = posts.join(per_post, "video_id", "left")
+    out = out.select(*posts.columns, *counts, "_likes")
     out = out.withColumns({c: F.coalesce(F.col(c), zero) for c in counts})
     mean_likes = ratio(F.col("_likes"), F.col("n_comments_captured").cast("double"))
     return out.withColumn("avg_comment_diggs", mean_likes).drop("_likes")

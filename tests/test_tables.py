@@ -198,8 +198,18 @@ def test_media_folders(spark, media_root):
     ]
     text = out.filter("video_id = '9'").first().summary_text
     assert text.startswith("Solar wind �")
-    files = media.list_files(spark, media_root)
-    assert "content" not in files._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_are_listed_level_by_level(spark, tmp_path):
+    for path in ("1/summary.txt", "1/deep/er/video.mp4", "3/deep/image_1.jpg"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("")
+    (tmp_path / "2").mkdir()
+    listed = {r.path.removeprefix(f"file://{tmp_path}") for r in media.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {"/", "/1/", "/2/", "/3/", "/1/deep/", "/1/deep/er/", "/3/deep/", "/1/summary.txt", "/1/deep/er/video.mp4", "/3/deep/image_1.jpg"}
+    assert records(media.list_files(spark, str(tmp_path), levels=1)) == [(f"file://{tmp_path}/",)]
+    got = {r.video_id: (r.content_type, r.summary_text) for r in media.read_media_folders(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("unknown", ""), "2": ("unknown", None), "3": ("unknown", None)}
 
 
 def test_enriched_posts_without_summary(tables_of, spark, media_root):

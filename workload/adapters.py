@@ -6,10 +6,14 @@ part of what the queries check.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from resona.functions.numbers import minutes_between
 from resona.operators.skew import lookup
+from resona.sources.media import opened
 from resona.sources.tables import fill_cores
 
 URL_PREFIX = "https://video.example/post/"
@@ -66,7 +70,7 @@ def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(line)).alias("items"),  # the lines of one order
     )
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    joined = lookup(orders, customers(spark, sf_dir), "c_custkey")
+    joined = orders.join(customers(spark, sf_dir), "c_custkey", "left")
     joined = joined.join(lines, joined.o_orderkey == lines.l_orderkey, "left")
     joined = joined.withColumns({"video_id": F.col("o_orderkey").cast("string"), "region": F.col("n_name")})
     items = F.coalesce("items", F.array().cast(lines.schema["items"].dataType))
@@ -190,6 +194,18 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Make the folder of each row ``(folder, files, text)``; its summary holds the text, other files a letter."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, folder = opened(row["folder"])
+            store.create_dir(folder, recursive=True)
+            for name in row["files"]:
+                with store.open_output_stream(f"{folder}/{name}") as file:
+                    file.write((row["text"] or "").encode() if name == "summary.txt" else b"x")
+        yield pa.record_batch([batch.column("folder")], ["folder"])
+
+
 # --- follower graph ---------------------------------------------------------------------------
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as seed creators."""

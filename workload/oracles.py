@@ -147,6 +147,9 @@ vertices AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges UNION SELEC
 arcs AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
 degree AS (SELECT a AS id, count(*) AS degree FROM arcs GROUP BY a)"""
 
+# Every supplier with its customers instead of their nations.
+WHOLE_NETWORK = NETWORK.replace("SELECT author_id, follower_id AS other FROM followers", "SELECT author_id, follower_id AS other FROM every_follower")
+
 # Shortest-path counting unrolled over more levels than the graph is wide; the SQL fails if the last one is not empty.
 LEVELS = 12
 
@@ -181,6 +184,22 @@ def pct_rank(column: str) -> str:
     return f"((rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0) / count({column}) OVER ())"
 
 
+# The seven sections of a summary text made of a document, and the text itself.
+SECTIONS = {
+    "overall_mood_tone": strip("source"),
+    "overall_narrative_message": strip("text"),
+    "prominent_objects_actions": strip("lang || ' and ' || source"),
+    "description_storyline": strip("lang || ' ' || doc_id"),
+    "music_description": "'tune ' || doc_id",
+    "audio_nature": strip("lang"),
+    "prominent_audio_content": "CAST(doc_id AS VARCHAR)",
+}
+MEDIA = """media AS (SELECT *, lang <> 'es' AND doc_id % 10 <> 3 AS filled, concat('Summary.',
+  chr(10), '**1. The overall mood:**', chr(10), source, ' ', chr(10), '**2. NARRATIVE message:**', chr(10), text,
+  chr(10), '**3. Key events:**', chr(10), lang, ' and ', source, chr(10), '**4. The storyline:**', chr(10), lang, ' ', doc_id,
+  chr(10), '**5. Music track:**', chr(10), chr(9), 'tune ', doc_id, chr(10), '**6. Nature of the audio:**', chr(10), lang,
+  chr(10), '**7. Spoken content:**', chr(10), doc_id, chr(10)) AS summary FROM documents)"""
+
 SUMMARIES = "summaries AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, source AS content_type, text AS semantic_text, lang FROM documents)"
 LABELLED = f"""
 {SUMMARIES},
@@ -288,8 +307,8 @@ def oracle_sql() -> dict[str, str]:
   round(coalesce(avg_play / nullif("stats_followerCount", 0), 0), 6) AS views_per_follower_history
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN authors ON author_id = CAST(o_custkey AS VARCHAR)
   LEFT JOIN author_history USING (author_id)""",
-        "graph_edges": f"WITH {NETWORK} SELECT src, dst FROM edges",
-        "graph_degree": f"WITH {NETWORK} SELECT id, coalesce(degree, 0) AS degree FROM vertices LEFT JOIN degree USING (id)",
+        "graph_edges": f"WITH {WHOLE_NETWORK} SELECT src, dst FROM edges",
+        "graph_degree": f"WITH {WHOLE_NETWORK} SELECT id, coalesce(degree, 0) AS degree FROM vertices LEFT JOIN degree USING (id)",
         "connected_components": """WITH tree AS (
     SELECT 'r' || n_regionkey AS root, 'r' || n_regionkey AS id FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation
     UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -345,8 +364,27 @@ SELECT video_id, array_to_string({all_labels('semantic_text', rulesets.THEME_RUL
   {first_label('lower(c)', rulesets.EMOTION_RULES, rulesets.EMOTION_DEFAULT, 'c')} AS emotion_label,
   CASE WHEN score > 0.15 THEN 'positive' WHEN score < -0.15 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
   round(score, 6) AS sentiment_score FROM measured""",
-        "section_extract": f"""SELECT doc_id, {strip('source')} AS overall_mood_tone, {strip('text')} AS overall_narrative_message,
-  CAST(NULL AS VARCHAR) AS prominent_objects_actions, lang AS audio_nature FROM documents""",
+        "section_extract": f"WITH {MEDIA} SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in SECTIONS.items())} FROM documents",
+        "summary_tables": f"""WITH {MEDIA},
+summaries AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 0 END :: BIGINT AS n_image_files,
+  coalesce(lang = 'en', false) AS has_local_video, coalesce(lang IN ('en', 'fr'), false) AS has_local_audio,
+  CASE lang WHEN 'en' THEN 'video' WHEN 'fr' THEN 'images_audio' WHEN 'de' THEN 'images_music' ELSE 'unknown' END AS content_type,
+  {', '.join(f'CASE WHEN filled THEN {v} END AS {n}' for n, v in SECTIONS.items())},
+  CASE WHEN filled THEN array_to_string(list_filter([{SECTIONS['overall_narrative_message']}, {SECTIONS['prominent_objects_actions']}, {SECTIONS['overall_mood_tone']}, {strip('summary')}],
+    lambda x: x IS NOT NULL AND x <> ''), ' ') ELSE '' END AS semantic_text FROM media),
+marked AS (SELECT *, {all_labels('semantic_text', a.THEMES)} AS themes, {first_label('semantic_text', a.MOODS, rulesets.MOOD_DEFAULT)} AS mood_label,
+  {first_label('semantic_text', a.ACTIONS, rulesets.ACTION_DEFAULT)} AS action_frame FROM summaries)
+SELECT * EXCLUDE (themes), array_to_string(themes, ', ') AS theme_labels, coalesce(themes[1], '{rulesets.THEME_DEFAULT}') AS primary_theme,
+  CAST(len(themes) AS INTEGER) AS n_theme_labels FROM marked""",
+        "raw_json_source": f"""WITH {POSTS}, counted AS (SELECT video_id, title, CASE WHEN o_orderpriority LIKE '4%' THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS play_count,
+  CAST(o_custkey AS VARCHAR) AS author_id, o_orderstatus = 'O' AS promotable, CAST(count(i) AS INTEGER) AS comments, CAST(count(day) AS INTEGER) AS images,
+  CAST(min_by(l_suppkey, i) AS VARCHAR) AS first_user FROM source s LEFT JOIN items USING (l_orderkey) GROUP BY ALL)
+SELECT {', '.join(f'CASE WHEN CAST(video_id AS BIGINT) % 7 <> 2 THEN {c} END AS {c}' for c in ('video_id', 'title', 'play_count', 'author_id', 'promotable', 'comments', 'images', 'first_user'))} FROM counted""",
+        "records_and_parents": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'p' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS author_id, o_totalprice AS price
+  FROM orders, range(2)""",
+        "single_cluster": """SELECT '7' AS video_id, CAST(0 AS INTEGER) AS cluster_id, 'single cluster' AS cluster_name, '' AS cluster_terms, CAST(1 AS BIGINT) AS posts,
+  n_regionkey :: DOUBLE AS median_views, n_regionkey :: DOUBLE AS total_views, n_regionkey :: DOUBLE AS median_eng_per_1k, n_regionkey :: DOUBLE AS total_shares,
+  n_regionkey :: DOUBLE AS total_comments FROM nation WHERE n_nationkey = 7""",
         "clean_text": f"""SELECT page_id, {clean("url || chr(10) || chr(9) || html || chr(10) || chr(9) || '  see ' || url || ' or www.x.org/a  '")} AS clean FROM pages""",
         "media_flags": """SELECT CAST(doc_id AS VARCHAR) AS video_id, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 0 END :: BIGINT AS n_image_files,
   lang = 'en' AS has_local_video, lang IN ('en', 'fr') AS has_local_audio,

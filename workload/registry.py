@@ -10,12 +10,13 @@ from resona.functions.numbers import add_time_features, creator_scale, round_hal
 from resona.functions.text import clean_text, content_type, sections
 from resona.operators import graph, topics
 from resona.operators.medians import grouped_mode, split_medians
-from resona.operators.nesting import ensure_video_id, keyed_records, nested_to_json
+from resona.operators.nesting import ensure_video_id, explode_records, keyed_records, nested_to_json
 from resona.operators.ranks import add_percent_ranks
 from resona.plans import clusters, comments, core, creators, rollups, summaries, views
 from resona.plans.build import write_core
 from resona.session import cut, fresh_path, stored
-from resona.sources.media import media_flags
+from resona.sources.media import as_uri, media_flags
+from resona.sources.schemas import POSTS_RAW
 from resona.sources.tables import manifest, read_table, write_table
 
 from . import adapters as a
@@ -37,8 +38,13 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     return core.post_scalars(raw_posts(spark, d), a.URL_PREFIX).drop("first_supplier")
 
 
+def stored_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The post records written once, as in the batch job, for tables that read them several times."""
+    return stored(a.posts_raw(spark, d), "posts-raw")
+
+
 def post_metrics(spark: SparkSession, d: str) -> DataFrame:
-    raw = raw_posts(spark, d)
+    raw = add_time_features(ensure_video_id(stored_posts(spark, d)))
     flat = core.post_scalars(raw, a.URL_PREFIX).drop("first_supplier")
     return core.build_post_metrics(flat, core.post_comments(raw), core.post_images(raw), core.post_hashtags(flat))
 
@@ -169,7 +175,7 @@ def q_network_region_metrics(spark, d):
 
 
 def q_creator_leverage(spark, d):
-    raw = a.posts_raw(spark, d)
+    raw = stored(a.posts_raw(spark, d).select("video_id", "author"), "posts-raw")
     out = creators.creator_leverage(
         core.flatten_struct(raw, ["video_id"], "author", "author_"),
         core.flatten_authors(a.authors_raw(spark, d)),
@@ -180,20 +186,27 @@ def q_creator_leverage(spark, d):
 
 # --- graph ------------------------------------------------------------------------------------
 def network(spark, d):
+    """Suppliers with the nations that buy from them: centrality needs all pairs of vertices."""
     followers = core.network_edges(a.market_raw(spark, d), "follower")
     followings = core.network_edges(a.followings_raw(spark, d), "followed")
     return followers, followings
 
 
+def whole_network(spark, d):
+    """Every supplier with all its customers."""
+    followers = core.network_edges(a.followers_raw(spark, d), "follower")
+    return followers, core.network_edges(a.followings_raw(spark, d), "followed")
+
+
 def q_graph_edges(spark, d):
-    followers, followings = network(spark, d)
+    followers, followings = whole_network(spark, d)
     return graph.undirected_edges(
         followers.select("author_id", "follower_id"), followings.select("author_id", "followed_id")
     )
 
 
 def q_graph_degree(spark, d):
-    followers, followings = network(spark, d)
+    followers, followings = whole_network(spark, d)
     vertices, edges = creators.creator_graph(a.seeds(spark, d), followers, followings)
     joined = vertices.join(graph.degrees(edges), "id", "left")
     return joined.select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
@@ -308,15 +321,44 @@ def q_default_rule_labels(spark, d):
     )
 
 
+def summary_text():
+    """A summary with all seven headings, made of a document's columns."""
+    headings = ("1. The overall mood:", "2. NARRATIVE message:", "3. Key events:", "4. The storyline:", "5. Music track:", "6. Nature of the audio:", "7. Spoken content:")
+    values = (F.concat("source", F.lit(" ")), "text", F.concat_ws(" and ", "lang", "source"), F.concat_ws(" ", "lang", "doc_id"), F.concat(F.lit("\ttune "), "doc_id"), "lang", F.col("doc_id").cast("string"))
+    parts = [x for h, v in zip(headings, values) for x in (F.lit(f"\n**{h}**\n"), v)]
+    return F.concat(F.lit("Summary."), *parts, F.lit("\n"))
+
+
+SECTIONS = ("overall_mood_tone", "overall_narrative_message", "prominent_objects_actions", "description_storyline", "music_description", "audio_nature", "prominent_audio_content")
+
+
 def q_section_extract(spark, d):
     docs = a.texts(spark, d, "documents")
-    text = F.concat(
-        F.lit("**1. The overall mood:**\n"), "source", F.lit(" \n**2. NARRATIVE message:**\n"), "text",
-        F.lit("\n**3. Nature of the audio:** "), "lang", F.lit("\n"),
-    )
-    fields = docs.select("doc_id", *sections(text))
-    return fields.select(
-        "doc_id", "overall_mood_tone", "overall_narrative_message", "prominent_objects_actions", "audio_nature"
+    return docs.select("doc_id", *sections(summary_text())).select("doc_id", *SECTIONS)
+
+
+def media_tree(spark, d) -> str:
+    """Folders of captured files, one per document: written by the executors, some without a text or without any file."""
+    root = as_uri(fresh_path(spark, "media"))
+    files = F.filter(
+        F.array(
+            F.when(F.col("lang") != "es", "summary.txt"), F.when(F.col("lang") == "en", "video.mp4"), F.when(F.col("lang").isin("en", "fr"), "audio.mp3"),
+            F.when(F.col("lang").isin("fr", "de"), "image_1.jpg"), F.when(F.col("lang") == "de", "image_2.jpg"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    text = F.when(F.col("doc_id") % 10 == 3, "").otherwise(summary_text())
+    docs = a.texts(spark, d, "documents").select(F.concat(F.lit(f"{root}/"), "doc_id").alias("folder"), files.alias("files"), text.alias("text"))
+    docs.mapInArrow(a.write_folders, "folder string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def q_summary_tables(spark, d):
+    """Summaries read from folders: flags, sections, the text they make up, and its labels."""
+    out = summaries.read_summaries(spark, media_tree(spark, d), themes=a.THEMES, moods=a.MOODS, actions=a.ACTIONS)
+    return out.select(
+        "video_id", "n_image_files", "has_local_video", "has_local_audio", "content_type", *SECTIONS, "semantic_text",
+        F.array_join("theme_labels", ", ").alias("theme_labels"), "primary_theme", "mood_label", "action_frame", "n_theme_labels",
     )
 
 
@@ -385,6 +427,47 @@ def q_post_comment_sentiment(spark, d):
     return rounded(out, "avg_sentiment_score", "pct_positive", "pct_negative")
 
 
+def q_raw_json_source(spark, d):
+    """Post records written as JSON lines, some with other types, unknown fields or broken, read by the schema."""
+    posts_ = a.posts_raw(spark, d).drop("first_supplier")
+    line = F.to_json(F.struct("*"))
+    number = F.col("video_id").cast("long")
+    line = (
+        F.when(number % 7 == 0, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(', "unknown": {"a": [1]}}')))
+        .when(number % 7 == 1, F.regexp_replace(line, '"play_count":"(\\d+)"', '"play_count":$1'))
+        .when(number % 7 == 2, F.lit('{"video_id": "broken'))
+        .otherwise(line)
+    )
+    path = fresh_path(spark, "posts-json")
+    posts_.select(line.alias("value")).write.text(path)
+    rows = read_table(spark, path, "json", POSTS_RAW)
+    return rows.select(
+        "video_id", "title", "play_count", F.col("author.id").alias("author_id"), F.col("commerce_info.adv_promotable").alias("promotable"),
+        F.size("comments").alias("comments"), F.size(F.array_compact("images")).alias("images"), F.get("comments", F.lit(0))["user"]["id"].alias("first_user"),
+    )
+
+
+def q_records_and_parents(spark, d):
+    """Records that have a parent's column: it fills in only where the parent has none."""
+    orders = a.table(spark, d, "orders")
+    record = F.struct(F.col("o_custkey").cast("string").alias("author_id"), F.col("o_totalprice").alias("price"))
+    status = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("p"), "o_custkey")).alias("author_id")
+    nested = orders.select("o_orderkey", status, F.array(record, F.lit(None), record).alias("records"))
+    return explode_records(nested, "records", ["o_orderkey", "author_id"])
+
+
+def q_single_cluster(spark, d):
+    """Summaries of which one text at most is long enough for a cluster."""
+    nations = a.table(spark, d, "nation")
+    text = F.when(F.col("n_nationkey") == 7, F.concat_ws(" ", "n_name", "n_name", "n_name", "n_name", F.lit("of the world"))).otherwise(F.substring("n_name", 1, 9))
+    posts_ = nations.select(F.col("n_nationkey").cast("string").alias("video_id"), text.alias("semantic_text"))
+    metrics = nations.select(
+        F.col("n_nationkey").cast("string").alias("video_id"), *[F.col("n_regionkey").cast("double").alias(c) for c in ("play_count", "eng_per_1k_views", "share_count", "comment_count")]
+    )
+    tables = clusters.semantic_clusters(posts_, metrics)
+    return tables["semantic_clusters"].join(tables["semantic_cluster_performance"], ["cluster_id", "cluster_name"])
+
+
 def q_emotion_pivot(spark, d):
     return comments.emotion_by_sentiment(comments.sentiment_summary(scored(spark, d)))
 
