@@ -316,9 +316,10 @@ def term_rows(topics_of, r):
     return rows
 
 
-@pytest.mark.parametrize("cells", [100_000, 60])
-def test_kmeans_equals_dense_rounds(spark, monkeypatch, cells):
+@pytest.mark.parametrize("cells,matrix", [(100_000, 1 << 24), (60, 400)])
+def test_kmeans_equals_dense_rounds(spark, monkeypatch, cells, matrix):
     monkeypatch.setattr(kmeans, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(kmeans, "MATRIX", matrix)
     rows = term_rows(["a"] * 14 + ["b"] * 9 + ["c"] * 11 + ["a"] * 3, random.Random(3))
     rows += [("copy", t, w) for d, t, w in rows if d == "d4"]
     names = sorted({d for d, *_ in rows} | {"empty"})
@@ -331,14 +332,17 @@ def test_kmeans_equals_dense_rounds(spark, monkeypatch, cells):
     space = kmeans.space_of(weights, spark.createDataFrame([(d,) for d in names], "doc STRING"), "doc", scratch)
     starts = kmeans.seeds(space, 4, 4, 42, scratch)
     assert all(len({step[r] for step in starts}) == 4 for r in range(4))
-    for clusters in (2, 4):
-        found = kmeans.fit(space, starts, clusters, scratch)
-        wanted = [plain_lloyd(dense, [names.index(starts[step][r]) for step in range(clusters)]) for r in range(4)]
-        got = {row["doc"]: row["labels"] for row in found.state.collect()}
-        assert [[got[d][r] for d in names] for r in range(4)] == [w[0] for w in wanted]
-        assert found.costs.tolist() == pytest.approx([w[1] for w in wanted])
-        best = min(range(4), key=lambda r: (round(wanted[r][1], 10), r))
-        assert kmeans.silhouette(space, *kmeans.best_restart(found, clusters)) == pytest.approx(wanted[best][2])
+    runs = [[step[r] for step in starts[:clusters]] for clusters in (2, 4) for r in range(4)]
+    wanted = [plain_lloyd(dense, [names.index(d) for d in own]) for own in runs]
+    got, costs, scores = {}, [], []
+    for batch in kmeans.batches_of(space, [len(own) for own in runs]):
+        found = kmeans.fit(space, [runs[run] for run in batch], scratch)
+        labels = {row["doc"]: row["labels"] for row in found.state.collect()}
+        got |= {run: [labels[d][place] for d in names] for place, run in enumerate(batch)}
+        costs += found.costs.tolist()
+        scores += kmeans.silhouettes(space, found, list(range(len(batch))))
+    assert [got[run] for run in range(8)] == [w[0] for w in wanted]
+    assert costs == pytest.approx([w[1] for w in wanted]) and scores == pytest.approx([w[2] for w in wanted])
     scratch.clear()
 
 
