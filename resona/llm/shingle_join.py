@@ -116,7 +116,7 @@ def set_rows(docs: DataFrame, width: int, mode: str = "", percent: int = 0, chos
         for batch in batches:
             if chosen is not None:
                 batch = batch.filter(pa.array(hits(chosen.value, batch.column("place").to_numpy())))
-            for _, (ids, texts) in arrow_rows([batch], "doc_id", "text", most_bytes=2 << 20):
+            for _, (ids, texts) in arrow_rows([batch], "doc_id", "text", most_bytes=1 << 20):
                 rows, lists = [], []
                 for i, text in zip(ids, texts):
                     found = shingle_set(text, width)
@@ -239,7 +239,7 @@ def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(hits(first.value, batch.column("place").to_numpy())))
-            for part in in_parts(batch):
+            for part in in_parts(batch, 1 << 20):
                 keys = part.column("keys").flatten().to_numpy(zero_copy_only=False)
                 held, least, cell = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("held", "least", "cell"))
                 met = hits(frequent.value, keys & ((1 << 26) - 1))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 # Entries of a worker's table of hashed words; a full table is emptied, which changes no result.
-KNOWN = 600_000
+KNOWN = 200_000
 _words: dict[bytes, int] = {}
 
 # Odd multipliers of the places in a shingle.
