@@ -343,13 +343,20 @@ def test_kmeans_equals_dense_rounds(spark, monkeypatch, cells, matrix):
         scores += kmeans.silhouettes(space, found, list(range(len(batch))))
     assert [got[run] for run in range(8)] == [w[0] for w in wanted]
     assert costs == pytest.approx([w[1] for w in wanted]) and scores == pytest.approx([w[2] for w in wanted])
+    # A small space held whole gives the same.
+    few = kmeans.fit_few(space, runs)
+    assert [f[0] for f in few] == pytest.approx(costs) and [f[1] for f in few] == pytest.approx(scores)
+    small = kmeans.SmallSpace.of(space)
+    assert small.docs == names and [small.lloyd(own, 300)[0].tolist() for own in runs] == [w[0] for w in wanted]
     scratch.clear()
 
 
-def test_kmeans_with_fewer_texts_than_clusters(spark):
+def test_kmeans_with_fewer_texts_than_clusters(spark, monkeypatch):
     rows = [(f"{d}{i}", t, 1.0) for d, t in (("x", "sun"), ("y", "coal")) for i in range(4)]
     weights = spark.createDataFrame(rows, "doc STRING, term STRING, weight DOUBLE")
     found = topics.assign_clusters(weights, weights.select("doc"), "doc", 8, restarts=3)
+    monkeypatch.setattr(topics, "FEW_CELLS", 0)
+    assert records(topics.assign_clusters(weights, weights.select("doc"), "doc", 8, restarts=3)) == records(found)
     labels = {r.doc: r.cluster_id for r in found.collect()}
     assert {labels[f"x{i}"] for i in range(4)} != {labels[f"y{i}"] for i in range(4)} and set(labels.values()) == {0, 1}
 
