@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import Scratch, cut, shared_folder, stored
 
-__all__ = ["Scratch", "arrow_rows", "cut", "folder_uri", "held_out", "in_parts", "map_arrow", "read_docs", "stored", "table"]
+__all__ = ["Scratch", "arrow_rows", "cut", "folder_uri", "held_out", "in_parts", "map_arrow", "read_docs", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,18 @@ def in_parts(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Re
             yield part
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within this, jobs hand rows to Python so many at a time: rows with long lists would make batches of hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from .bitmaps import bitmap, hits, place, without_ids
-from .frames import Scratch, arrow_rows, in_parts, map_arrow, read_docs, stored
+from .frames import Scratch, arrow_rows, in_parts, map_arrow, read_docs, small_batches, stored
 from .shingles import mixed, shingle_set
 
 
@@ -248,12 +248,13 @@ def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
                 met &= enough[owners]
                 owner = owners[met]
                 rows = np.repeat(np.arange(part.num_rows), part.column("cell").value_lengths().to_numpy())[owner]
-                columns = [part.column(c).take(pa.array(rows)) for c in ("doc_id", *SET_KEY)]
-                yield pa.record_batch([*columns, pa.array(cell[owner]), pa.array(least[owner]), pa.array(keys[met])], names=["doc_id", *SET_KEY, "cell", "least", "key"])
+                columns = [part.column(c).take(pa.array(rows)) for c in ("doc_id", "sum_a")]
+                yield pa.record_batch([*columns, pa.array(cell[owner]), pa.array(least[owner]), pa.array(keys[met])], names=["doc_id", "sum_a", "cell", "least", "key"])
 
-    rows = map_arrow(placed, thinned, "doc_id long, n long, sum_a long, sum_b long, cell int, least int, key long")
-    named = nodes.select(*SET_KEY, F.col("rep").alias("doc_id"), "node", "copies")
-    rows = rows.join(shared, "key").join(named, [*SET_KEY, "doc_id"]).select("key", "node", "cell", "least", "copies").distinct()
+    rows = map_arrow(placed, thinned, "doc_id long, sum_a long, cell int, least int, key long")
+    # Keys that hit the bitmap by chance are dropped by the counts below; repeated rows only make keys look less rare.
+    named = nodes.select(F.col("rep").alias("doc_id"), "sum_a", "node", "copies")
+    rows = rows.join(named, ["doc_id", "sum_a"]).select("key", "node", "cell", "least", "copies")
     rows = scratch.stored(rows, "slices")
     before, count = None, rows.count()
     # Any number of rounds is right; they end when little is left to drop.
@@ -265,7 +266,7 @@ def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
         before, count = count, rows.count()
     own = Window.partitionBy("node", "cell").orderBy("n_key", "key")  # the slices of one text
     rarest = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= F.col("held") - F.col("least") + 1)
-    members = stored(rarest.select("key", "node", "copies"), "members")
+    members = stored(rarest.select("key", "node", "copies").distinct(), "members")
     scratch.clear()
     return members
 
@@ -337,7 +338,8 @@ def linked_nodes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
 
 def shingle_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets of all rows, nodes (distinct sets), and links between nodes that connect all that are similar."""
-    return linked_nodes(docs, width, percent)[:3]
+    with small_batches(docs.sparkSession):
+        return linked_nodes(docs, width, percent)[:3]
 
 
 def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -357,7 +359,8 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def set_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, sum_a, sum_b, component_id`` per row of ``docs``: the components with the sets they are found by."""
     rows = read_docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base, nodes, _, components = linked_nodes(rows, width, percent)
+    with small_batches(docs.sparkSession):
+        base, nodes, _, components = linked_nodes(rows, width, percent)
     joined = stored(nodes.join(components, "node", "left").select(*SET_KEY, "rep", F.coalesce("c", "node").alias("c")), "set-components")
     lowest = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_set = joined.join(lowest, "c").select(*SET_KEY, "component_id")
