@@ -14,6 +14,7 @@ from ..session import stored
 from .rollups import descending, empty_table, lacks
 
 EARLY_MINUTES = 60
+# --- fixed values: columns of the public tables, in their order
 POST_COLUMNS = ("video_id", "title", "play_count", "comment_count", "share_count", "eng_per_1k_views")
 LABELLED_COLUMNS = ("video_id", "comment_id", "digg_count", "mins_since_post")
 SCORED_COLUMNS = (

@@ -21,6 +21,7 @@ from ..operators.skew import lookup
 from ..session import cut
 from .rollups import descending
 
+# --- fixed values: columns of the public tables, in their order
 LEVERAGE_COLUMNS = (
     "video_id",
     "author_id",
