@@ -63,13 +63,13 @@ def same_source(left: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def random_odds(seed: int) -> Column:
-    """u / (1 - u) for a number u in (0, 1) that depends on seed, id and source only."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    """u / (1 - u) for a number u in (0, 1) that depends on seed, id, source and hash ``t`` of the text only."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source", "t"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     return u / (1 - u)
 
 
 def ranked(rows: DataFrame, seed: int) -> DataFrame:
-    """Rows ``doc_id, source, size, rate`` with certain ``whole`` copies, the ``chance`` of one more, and its rank ``q``."""
+    """Rows ``doc_id, source, t, size, rate`` with certain ``whole`` copies, the ``chance`` of one more, and its rank ``q``."""
     rate = F.least(F.lit(float(MOST_COPIES)), F.coalesce("rate", F.lit(0.0)))
     out = rows.withColumn("whole", F.floor(rate)).withColumn("chance", rate - F.col("whole"))
     return out.withColumn("q", F.when(F.col("chance") > 0, random_odds(seed) * (1 - F.col("chance")) / F.col("chance")))
@@ -104,15 +104,16 @@ def liking(column: str) -> Column:
 
 
 def mixing_plan(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> DataFrame:
-    """One row per source: ``source, source_size, target, per_unit`` and the last place ``cut`` in its order that is taken."""
+    """One row per source: ``source, source_size, target, per_unit`` and the last place ``cut`` in its order that is taken,
+    with the number of rows there (``same``) and how many of them are taken (``keep``)."""
     p = F.lit(1.0) if preference is None else liking(f"`{preference}`")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), p.alias("p"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("t"), word_count(F.col("text")).alias("size"), p.alias("p"))
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = stored(rates(rows, targets(sizes), preference), "mix-rates")
     order = ranked(same_source(rows, plan).withColumn("rate", F.col("per_unit") * F.col("p")), seed)
     order = order.withColumn("range", F.floor(F.col("q") / (1 + F.col("q")) * RANGES).cast("int"))
-    order = stored(order.select("doc_id", "source", "size", "whole", "q", "range", "target"), "mix-order")
+    order = stored(order.select("doc_id", "source", "t", "size", "whole", "q", "range", "target"), "mix-order")
     sums = order.groupBy("source", "range").agg(
         F.sum(F.when(F.col("q").isNotNull(), F.col("size"))).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.first("target").alias("target")
     )
@@ -122,19 +123,40 @@ def mixing_plan(docs: DataFrame, seed: int = SEED, preference: str | None = None
     sums = sums.withColumn("before", upto - F.col("words")).filter("before < rest")
     last = sums.groupBy("source").agg(F.max_by(F.struct("range", "before", "rest"), "range").alias("last")).select("source", "last.*")
     edge = same_source(order, last.withColumnRenamed("range", "last_range")).filter("range = last_range")
-    spot = F.struct("q", "doc_id", "size")
-    along = Window.partitionBy("source").orderBy(spot).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(along))
+    # Equal rows share a place and go through as one row.
+    spot = F.struct("q", "doc_id", "size", "t")
+    edge = edge.groupBy("source", spot.alias("cut")).agg(F.count(F.lit(1)).alias("same"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    size = F.col("cut.size")
+    along = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.withColumn("upto", F.col("before") + F.sum(size * F.col("same")).over(along))
     # The document that crosses the target is taken if that comes nearer to it.
-    near = (F.col("upto") <= F.col("rest")) | (F.col("upto") - F.col("rest") < F.col("rest") - F.col("upto") + F.col("size"))
-    cuts = edge.filter(near).groupBy("source").agg(F.max(spot).alias("cut"))
-    none = F.struct(F.lit(0.0).alias("q"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))
+    left = F.col("rest") - F.col("upto") + size * F.col("same")
+    fit = F.floor(left / size)
+    nearest = fit + ((fit + 1) * size - left < left - fit * size).cast("long")
+    keep = F.when(F.col("upto") <= F.col("rest"), F.col("same")).otherwise(F.least(F.col("same"), nearest))
+    cuts = edge.withColumn("keep", keep).filter("keep > 0").groupBy("source").agg(F.max(F.struct("cut", "keep", "same")).alias("m")).select("source", "m.*")
     # With no document taken from the last range, all ranges before it still are.
     floor = last.select("source", F.struct((F.col("range") / F.lit(float(RANGES))).alias("t")).alias("floor"))
     plan = same_source(same_source(plan, cuts), floor)
     start = F.col("floor.t") / (1 - F.col("floor.t"))
-    below = F.struct(start.alias("q"), F.lit(None).cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("size"))
-    return plan.withColumn("cut", F.coalesce(F.col("cut"), F.when(F.col("floor").isNotNull(), below), none)).drop("floor")
+
+    def bare(q: Column, size: int) -> Column:
+        no = F.lit(None).cast("long")
+        return F.struct(q.alias("q"), no.alias("doc_id"), F.lit(size).cast("long").alias("size"), no.alias("t"))
+
+    cut = F.coalesce(F.col("cut"), F.when(F.col("floor").isNotNull(), bare(start, -1)), bare(F.lit(0.0), 0))
+    return plan.withColumn("cut", cut).na.fill(0, ["keep", "same"]).drop("floor")
+
+
+def numbered(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` with ``number``, counted from 1 within each group; no group is gathered in one task."""
+    rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_id", 33))
+    counts = rows.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    starts = counts.select("_group", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_id"))
+    met = rows.withColumn("_within", within).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return met.withColumn("number", F.col("_start") + F.col("_within")).drop("_id", "_part", "_within", "_group", "_of", "_start")
 
 
 def mixed_copies(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> DataFrame:
@@ -143,21 +165,33 @@ def mixed_copies(docs: DataFrame, seed: int = SEED, preference: str | None = Non
     Sizes are words; a null text has none. A null source is a source of its own, the last by name. A source's
     taken words (copies times size) differ from its target by half a document at most. ``preference`` names a
     column of relative weights of the documents of one source (null and negative: 0); without it all are equal.
-    Copies depend on seed, id, source and size only: equal rows get equal copies, and rows with one id, source and size on the
-    cut-off are taken together. An empty table gives an empty one, further columns may have any names.
+    Copies depend on seed, id, source and text only, so reruns agree. Rows equal in these have one place in the order; of those on
+    the cut-off as many are taken as come nearest to the target, so rows without an id, or with one id, are rows like any others.
+    An empty table gives an empty one, further columns may have any names.
     """
     plan = stored(mixing_plan(docs, seed, preference), "mix-plan")
-    plan = plan.select(F.col("source").alias("name"), F.struct("source_size", "target", "per_unit", "cut").alias("plan"))
+    shared = not plan.filter("keep < same").isEmpty()
+    plan = plan.select(F.col("source").alias("name"), F.struct("source_size", "target", "per_unit", "cut", "keep", "same").alias("plan"))
     p = F.lit(1.0) if preference is None else liking(f"row.`{preference}`")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("t"))
     met = rows.join(plan, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("size", word_count(F.col("row.text")))
     rate = F.least(F.lit(float(MOST_COPIES)), F.col("plan.per_unit") * p)
     whole = F.floor(rate)
     chance = rate - whole
     odds = F.when(chance > 0, random_odds(seed) * (1 - chance) / chance)
-    more = (chance > 0) & (F.struct(odds.alias("q"), "doc_id", "size") <= F.col("plan.cut"))
-    copies = whole + F.coalesce(more, F.lit(False)).cast("long")
-    return met.select("row", "size", "plan.source_size", "plan.target", copies.alias("copies"))
+    spot = F.struct(odds.alias("q"), "doc_id", "size", "t")
+
+    def copies(rows: DataFrame, more: Column) -> DataFrame:
+        more = F.coalesce((F.col("chance") > 0) & more, F.lit(False)).cast("long")
+        return rows.select("row", "size", "plan.source_size", "plan.target", (F.col("whole") + more).alias("copies"))
+
+    met = met.select("row", "source", "size", "plan", whole.alias("whole"), chance.alias("chance"), spot.alias("spot"))
+    upto = F.col("spot") <= F.col("plan.cut")
+    if not shared:
+        return copies(met, upto)
+    split = F.coalesce((F.col("chance") > 0) & (F.col("spot") == F.col("plan.cut")), F.lit(False))
+    tied = numbered(met.filter(split), "source")
+    return copies(met.filter(~split), upto).unionByName(copies(tied, F.col("number") <= F.col("plan.keep")))
 
 
 def mix(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> DataFrame:
@@ -168,7 +202,10 @@ def mix(docs: DataFrame, seed: int = SEED, preference: str | None = None) -> Dat
 
 
 def mixed_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, copies)`` per row of ``docs``."""
+    """``(doc_id, size, source_size, target, taken, copies)`` per row of ``docs``.
+
+    A source's taken words miss its target by half a document at most, which shows in sources of few documents.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mixed_copies(rows, seed).select("row.doc_id", "size", "source_size", "target", taken, "copies")

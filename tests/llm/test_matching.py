@@ -237,6 +237,18 @@ def test_mix_of_odd_rows(docs, no_docs, rows):
     assert mixed_words(no_docs).count() == 0 and mix(docs).columns == docs.columns
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(None, f"w{i} w", "a") for i in range(1000)] + [(7, f"w{i} w", "b") for i in range(1000)] + [(7, "w w", "c")] * 1000 + [(None, "w w", "d")] * 1000
+    rows += [(None, "w w", None)] * 1000
+    docs = spark.createDataFrame(rows, TEXTS + ", source string").repartition(7)
+    sizes = dict.fromkeys(["a", "b", "c", "d", None], 2000)
+    taken = {r[0]: r[1] for r in mix(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " ")))).collect()}
+    assert all(abs(taken[s] - wanted) <= 1 for s, wanted in water_filling(sizes).items())
+    assert len(set(taken.values())) > 1
+    found = ordered(mixed_words(docs))
+    assert len(found) == len(rows) and ordered(mixed_words(docs.repartition(3))) == found
+
+
 def test_one_of_each_with_several_texts_of_one_id(spark):
     a, b, c = ("".join(f" {stem}{i}" for i in range(40)) for stem in "abc")
     rows = [(1, a), (5, a), (5, b), (5, b), (5, None), (9, b), (9, b), (12, c), (13, c), (13, a), (None, a)]

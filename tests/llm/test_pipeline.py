@@ -46,5 +46,5 @@ def test_stages(spark):
 
 def test_every_number_has_one_query():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
