@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import Scratch, cut, shared_folder, stored
 
-__all__ = ["Scratch", "arrow_rows", "cut", "folder_uri", "held_out", "in_parts", "map_arrow", "read_docs", "small_batches", "stored", "table"]
+__all__ = ["Scratch", "arrow_rows", "cut", "folder_uri", "held_out", "in_parts", "kept", "map_arrow", "read_docs", "small_batches", "stored", "table"]
+
+
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +66,35 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_kept: dict[tuple[str, ...], object] = {}
+
+
+def kept(key: tuple[str, ...], make: Callable[[], T]) -> T:
+    """A worker's table, kept between tasks until one of another key is asked for: a worker holds one at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the machine: workers wait for further tasks beside a busy JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(task, schema)
+    """``mapInArrow`` whose workers keep no free memory between tasks."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def folder_uri(spark: SparkSession, name: str) -> str:

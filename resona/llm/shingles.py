@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .frames import kept
+
 # Entries of a worker's table of hashed words; a full table is emptied, which changes no result.
 KNOWN = 200_000
-_words: dict[bytes, int] = {}
 
 # Odd multipliers of the places in a shingle.
 PLACES = np.array(
@@ -28,17 +29,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _words
+    known = kept(("words",), dict)
     try:
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_words) > KNOWN:
-            _words = {}
+        if len(known) > KNOWN:
+            known.clear()
         # Not a set difference with the keys: that walks the whole table.
         for word in set(words):
-            if word not in _words:
-                _words[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:

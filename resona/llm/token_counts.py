@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import arrow_rows, map_arrow, read_docs
+from .frames import arrow_rows, kept, map_arrow, read_docs
 
 # Entries of a worker's tables of known pieces; a full table is emptied, which changes no result.
 KNOWN = 600_000
@@ -161,14 +161,9 @@ class MergeCounter:
         return totals
 
 
-_counters: dict[str, MergeCounter] = {}
-
-
 def counter(path: str) -> MergeCounter:
     """The worker's counter for a file, kept between tasks."""
-    if path not in _counters:
-        _counters[path] = MergeCounter(path)
-    return _counters[path]
+    return kept(("counter", path), lambda: MergeCounter(path))
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"

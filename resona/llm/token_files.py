@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import folder_uri, in_parts, map_arrow, read_docs
+from .frames import folder_uri, in_parts, kept, map_arrow, read_docs
 
 LENGTH = 2048
 PER_BATCH = 64
@@ -151,13 +151,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a file, kept between tasks."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 class ShardWriter:
