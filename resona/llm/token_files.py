@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import folder_uri, in_parts, kept, map_arrow, read_docs
+from .frames import folder_uri, in_parts, kept, map_arrow, read_docs, small_batches
 
 LENGTH = 2048
 PER_BATCH = 64
@@ -292,7 +292,9 @@ def write_token_files(
             )
 
     rows = docs_for_files(docs)
-    map_arrow(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), task, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    with small_batches(docs.sparkSession, 1500):
+        map_arrow(ordered, task, MANIFEST).write.parquet(f"{folder}/manifest")
     return open_token_files(docs.sparkSession, folder)
 
 
