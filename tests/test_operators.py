@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import defaultdict, deque
 
 import numpy as np
@@ -14,6 +15,7 @@ from resona.operators import graph, kmeans, nesting, topics
 from resona.operators.medians import grouped_mode, split_medians, summarise
 from resona.operators.ranks import add_percent_ranks, add_percent_ranks_of_groups
 from resona.operators.skew import hot_keys, lookup
+from resona.plans import clusters
 from resona.session import Scratch
 
 
@@ -285,6 +287,39 @@ def test_terms_and_pruning(spark):
     assert "sun" not in {r.term for r in weights.collect()}
 
 
+def test_weights_move_no_row_per_document_and_term(spark):
+    texts = spark.createDataFrame([(i % 40, f"sun wind coal{i % 3} gas") for i in range(50)] + [(None, "sun sun"), (7, "")], "id LONG, t STRING")
+    docs = topics.add_terms(texts, "t", [], doc="id")
+    weights = topics.term_weights(docs, "id", max_df=1.0)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    # Texts and vocabularies go by block, the latter by term too; a weight stays where it is made.
+    assert {key.split("#")[0] for key in re.findall(r"hashpartitioning\(([^,]+),", plan)} <= {"block", "term"}
+    rows = {(r.id, r.term): (r.tf, r.df) for r in weights.collect()}
+    assert rows[(3, "sun")] == (2, 41) and rows[(20, "sun")] == (1, 41) and rows[(None, "sun")] == (2, 41)
+    assert topics.vocabulary(docs, "id", 52).groupBy("block", "term").count().filter("count > 1").isEmpty()
+
+
+def test_cluster_descriptions_with_repeated_and_null_ids(spark):
+    texts = spark.createDataFrame([(1, "sun wind"), (2, "sun coal"), (2, "sun coal"), (3, "gas"), (4, "oil"), (None, "sun wind gas")], "id LONG, t STRING")
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (None, "a"), (9, "c")], "id LONG, lang STRING")
+    weights = {}
+    for r in topics.term_weights(topics.add_terms(texts, "t", [], doc="id"), "id").collect():
+        weights.setdefault(r.id, {})[r.term] = r.weight
+    sums, near = {}, {}
+    for i, lang in [(1, "a"), (2, "a"), (2, "a"), (3, "b")]:
+        for term, w in weights[i].items():
+            sums[lang, term] = sums.get((lang, term), 0.0) + w
+    for i, lang in [(1, "a"), (2, "a"), (2, "a"), (3, "b")]:
+        near[lang, i] = near.get((lang, i), 0.0) + sum(w * sums[lang, t] for t, w in weights[i].items())
+    found = {r.lang: r for r in clusters.describe_clusters(texts, "t", labels, "id", "lang", []).collect()}
+    assert found.keys() == {"a", "b", "c", None}
+    for lang in ("a", "b"):
+        terms = sorted((t for k, t in sums if k == lang), key=lambda t: (-round(sums[lang, t], 10), t))
+        assert found[lang].cluster_terms == ", ".join(terms[:8]) and found[lang].cluster_name == " / ".join(terms[:3])
+        assert found[lang].representative == min((-round(v, 10), i) for (k, i), v in near.items() if k == lang)[1]
+    assert found["c"].cluster_terms is None and found[None].representative is None
+
+
 def plain_lloyd(vectors, seeds):
     """Labels, cost and silhouette (squared distances) of dense vectors from the given seeds, lower cluster on a tie."""
     centres = [vectors[i].copy() if i is not None else None for i in seeds]
