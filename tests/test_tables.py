@@ -328,3 +328,13 @@ def test_top_terms_are_cut_before_the_shuffle(spark):
     out = topics.top_terms(centres, n=1)
     assert "WindowGroupLimit" in plan(out)
     assert tuple(out.first()) == (0, "a", "a")
+
+
+def test_summary_texts_keep_their_partitions(spark):
+    """Reading sections and labels is much work on few bytes: adaptive execution must not join it into one task."""
+    media = spark.createDataFrame([("1", "**Overall mood:**\ncalm"), ("2", None)], "video_id STRING, summary_text STRING")
+    flags = spark.createDataFrame([("1", 0), ("2", 1)], "video_id STRING, n_image_files INT")
+    out = summaries.summarise_media(flags.join(media.hint("merge"), "video_id", "left"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("REPARTITION_BY_NUM") < plan.index("SortMergeJoin")
+    assert {r.video_id: r.overall_mood_tone for r in out.collect()} == {"1": "calm", "2": None}
