@@ -37,7 +37,8 @@ KNOWN_WORDS = 400_000
 # The tokenizer file's word pattern (fields of its JSON), and its letters and numbers below
 # U+0180 after lower-casing. Chunks with other characters go to the library.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-žſ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-žſ0-9²³¹¼-¾]+")
+# Chunks hold no line end, which is put between them.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-žſ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-žſ0-9²³¹¼-¾\n]+|\n")
 OTHER = re.compile("[^\x00-įı-ſ]")
 # Blanks for Python's split, but not for the tokenizer.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -49,15 +50,17 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, wanted: set[str]) -> set[str]:
-        """What of ``wanted`` is in neither table; the rest is in the younger one afterwards."""
+    def missing(self, wanted: list[str]) -> list[str]:
+        """What of the distinct strings ``wanted`` is in neither table; the rest is in the younger one afterwards."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        lacking = {w for w in wanted if w not in young}
-        back = {w for w in lacking if w in old}
-        young.update((w, old[w]) for w in back)
-        return lacking - back
+        young = self.young
+        lacking = [w for w in wanted if w not in young]
+        if lacking and self.old:
+            older = list(map(self.old.get, lacking))
+            young.update({w: packed for w, packed in zip(lacking, older) if packed is not None})
+            lacking = [w for w, packed in zip(lacking, older) if packed is None]
+        return lacking
 
 
 class Encoder:
@@ -78,7 +81,7 @@ class Encoder:
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.marks = [t["content"] for t in spec["added_tokens"]]
+        self.odd = "|".join(map(re.escape, (*[t["content"] for t in spec["added_tokens"]], *SEPARATORS)))
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
         before = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
         self.by_chunk = (
@@ -112,33 +115,42 @@ class Encoder:
                 self.words.young[word] = packed[start * width : stop * width]
                 start = stop
 
-    def learn(self, chunks: set[str]) -> None:
-        parts = {c: WORD.findall(c.lower()) for c in chunks if not OTHER.search(c)}
-        self.learn_words(list(self.words.missing(set().union(*parts.values()))))
-        known, packed = self.words.young, self.chunks.young
+    def learn(self, chunks: list[str]) -> None:
+        """Put distinct chunks (an empty one is what blanks at either end of a text leave) in the younger table. Their words are found in one go, since a call per chunk takes longer than its words."""
+        packed, plain = self.chunks.young, []
         for chunk in chunks:
-            words = parts.get(chunk)
-            if words is None:
-                packed[chunk] = self.whole(chunk).tobytes()
+            if chunk.isascii() or not OTHER.search(chunk):
+                plain.append(chunk)
             else:
-                packed[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+                packed[chunk] = self.whole(chunk).tobytes()
+        if not plain:
+            return
+        words = WORD.findall("\n".join(plain).lower())
+        distinct = list(set(words) - {"\n"})
+        self.learn_words(self.words.missing(distinct))
+        known = self.words.young
+        known["\n"] = b""
+        pieces = list(map(known.__getitem__, words))
+        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        between = [i for i, word in enumerate(words) if word == "\n"]
+        joined = b"".join(pieces)
+        cuts = [0, *stops[between].tolist(), len(joined)]
+        packed.update(zip(plain, [joined[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text (none is null). Only the distinct chunks of all texts are looked up; their ids are then gathered."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_chunk:
             return [self.whole(t) for t in texts.to_pylist()]
-        odd = np.zeros(len(texts), bool)
-        for mark in (*self.marks, *SEPARATORS):
-            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         if odd.any():
             texts, whole = pc.if_else(pa.array(odd), "", texts), {i: self.whole(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
         cut = pc.utf8_split_whitespace(texts)
         chunks = cut.flatten().dictionary_encode()
-        distinct, place = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
-        self.learn(self.chunks.missing({c for c in distinct if c}))
-        known = self.chunks.young
-        packed = [known[c] if c else b"" for c in distinct]  # blanks at either end leave an empty chunk
+        # Arrow makes Python's strings much faster on the way to numpy than by to_pylist.
+        distinct, place = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy()
+        self.learn(self.chunks.missing(distinct))
+        packed = list(map(self.chunks.young.__getitem__, distinct))
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
         counts = sizes[place]
         stops = np.cumsum(counts)

@@ -15,6 +15,7 @@ from brute import merges_count
 from samples import ordered
 from tokenizers import Tokenizer
 
+from resona.llm import token_files as files
 from resona.llm.frames import folder_uri
 from resona.llm.token_counts import PIECE, MergeCounter, byte_symbols, token_counts
 from resona.llm.token_files import Encoder, ShardReader, open_token_files, read_token_files, token_files, write_token_files
@@ -119,3 +120,31 @@ def test_blanks_are_those_of_the_split():
     every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
     cut = pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in every])).value_lengths().to_numpy() > 1
     assert [c for c, k in zip(every, cut) if k] == [c for c in every if c.isspace()]
+
+
+def test_words_of_a_batch_are_found_at_once(monkeypatch):
+    """A call per chunk took more CPU than the words themselves."""
+    calls = []
+
+    class Counting:
+        def findall(self, text):
+            calls.append(text)
+            return word.findall(text)
+
+    word = files.WORD
+    monkeypatch.setattr(files, "WORD", Counting())
+    encoder = Encoder(WORDS)
+    texts = ["", "  ", " It's 42 o'clock,isn't it? ", "Größe\nÇa va²  x\ty", "\x1cΣΑΣ ſtraße", "a\r\nb\x0bc\x85d\xa0e f", "ab<|endoftext|>cd"] + [f"w{i} v-{i}'s" for i in range(50)]
+    for _ in range(2):
+        found = encoder.encode(texts)
+        assert [x.tolist() for x in found] == [encoder.whole(t).tolist() for t in texts]
+    assert len(calls) == 1
+
+
+def test_tables_of_known_strings_keep_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(files, "KNOWN_CHUNKS", 3)
+    monkeypatch.setattr(files, "KNOWN_WORDS", 3)
+    encoder = Encoder(WORDS)
+    for i in range(12):
+        texts = [" again and ", f"new{i} and again", f"x{i // 3}y, {i}", ""]
+        assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t).tolist() for t in texts]
