@@ -67,18 +67,27 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
 
 
 _kept: dict[tuple[str, ...], object] = {}
+_asked: set[tuple[str, ...]] = set()
 
 
 def kept(key: tuple[str, ...], make: Callable[[], T]) -> T:
-    """A worker's table, kept between tasks until one of another key is asked for: a worker holds one at a time."""
+    """A worker's table, kept between tasks until one of another key is asked for, or a task ends that asked for none: a worker holds one at a time."""
+    _asked.add(key)
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
 
-def give_back() -> None:
-    """Return memory that is free in this process to the machine: workers wait for further tasks beside a busy JVM."""
+def begin_task() -> None:
+    _asked.clear()
+
+
+def end_task() -> None:
+    """Drop a table of earlier tasks that this one did not ask for, and return free memory to the machine: workers wait for
+    further tasks beside a busy JVM, and a later stage that needs no table would have the last one beside it all the time."""
+    if not _asked:
+        _kept.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
@@ -86,13 +95,15 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers keep no free memory between tasks."""
+    """``mapInArrow`` whose workers keep no free memory between tasks, and no table that no task asks for any more."""
 
+    # Functions of this module, so that they work on the worker's own copy of it.
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         try:
             yield from task(batches)
         finally:
-            give_back()
+            end_task()
 
     return df.mapInArrow(lean, schema)
 

@@ -30,6 +30,8 @@ from .shingles import mixed, shingle_set
 # Sets are never larger than this; bands are made by rule, so that no pass over the data has to find their number.
 LARGEST = 1 << 40
 NO_KEYS = np.empty(0, np.int64)
+# Partitions of all documents' keys, as a multiple of the session's number.
+KEY_PARTS = 4
 HALVES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -216,6 +218,16 @@ def around_hubs(compared: DataFrame, components: DataFrame, percent: int, scratc
     return both.filter(linked(F.col("n1"), F.col("n2"), differ, percent)).select(F.least("node1", "node2").alias("src"), F.greatest("node1", "node2").alias("dst"))
 
 
+def repeated_keys(keys: DataFrame) -> DataFrame:
+    """The keys (one column) that occur more than once.
+
+    Nearly all are alone, so that counting them before they are moved would fill tables of hundreds of MB to no avail. After it,
+    each partition is counted in one table: there are more and smaller ones than elsewhere.
+    """
+    parts = KEY_PARTS * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1").select("key")
+
+
 def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(key, node, copies)``: the slices by which nodes may have partners, from the keys of all documents.
 
@@ -232,8 +244,7 @@ def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
 
     placed = keyed.filter("doc_id IS NOT NULL").withColumn("place", place(F.col("doc_id")))
     shared = map_arrow(placed.select("place", "keys"), standing, "keys array<long>").select(F.explode("keys").alias("key"))
-    shared = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1").select("key")
-    shared = scratch.stored(shared, "shared-keys")
+    shared = scratch.stored(repeated_keys(shared), "shared-keys")
     frequent = scratch.broadcast(bitmap(shared.select(F.pmod("key", F.lit(1 << 26)))))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

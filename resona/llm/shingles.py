@@ -8,7 +8,7 @@ import xxhash
 from .frames import kept
 
 # Entries of a worker's table of hashed words; a full table is emptied, which changes no result.
-KNOWN = 200_000
+KNOWN = 50_000
 
 # Odd multipliers of the places in a shingle.
 PLACES = np.array(

@@ -1,6 +1,7 @@
 """Token counts and token files against the tokenizers library."""
 
 import json
+import os
 import random
 import re
 import sys
@@ -15,7 +16,7 @@ from brute import merges_count
 from samples import ordered
 from tokenizers import Tokenizer
 
-from resona.llm import token_files as files
+from resona.llm import frames, token_files as files
 from resona.llm.frames import folder_uri
 from resona.llm.token_counts import PIECE, MergeCounter, byte_symbols, token_counts
 from resona.llm.token_files import Encoder, ShardReader, open_token_files, read_token_files, token_files, write_token_files
@@ -148,3 +149,33 @@ def test_tables_of_known_strings_keep_what_is_met_again(monkeypatch):
     for i in range(12):
         texts = [" again and ", f"new{i} and again", f"x{i // 3}y, {i}", ""]
         assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t).tolist() for t in texts]
+
+
+def test_a_worker_drops_a_table_that_a_task_does_not_ask_for(spark):
+    """Encoders of an earlier stage stayed beside all later ones."""
+    key = ("table of this test",)
+
+    def asking(batches):
+        for batch in batches:
+            frames.kept(key, lambda: "table")
+            yield pa.record_batch([pa.array([os.getpid()] * batch.num_rows, pa.int64()), pa.array([key in frames._kept] * batch.num_rows)], names=["pid", "held"])
+
+    def plain(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([os.getpid()] * batch.num_rows, pa.int64()), pa.array([key in frames._kept] * batch.num_rows)], names=["pid", "held"])
+
+    # Without Spark: a task that asks keeps the table, one that doesn't drops it.
+    frames.begin_task()
+    assert frames.kept(key, lambda: "first") == "first"
+    frames.end_task()
+    frames.begin_task()
+    assert frames.kept(key, lambda: "second") == "first"
+    frames.end_task()
+    frames.begin_task()
+    frames.end_task()
+    assert key not in frames._kept
+    # In workers: whatever worker ran the second of these, the third finds nothing in it.
+    one = spark.range(1).coalesce(1)
+    held = [{r.pid: r.held for r in frames.map_arrow(one, task, "pid long, held boolean").collect()} for task in (asking, plain, plain)]
+    assert all(held[0].values())
+    assert not any(held[2][pid] for pid in held[1] if pid in held[2])

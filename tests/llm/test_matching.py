@@ -16,7 +16,7 @@ from resona.llm.licenses import NOTICES, TEXTS as LICENCES, license_scan, rarity
 from resona.llm.mixing import mix, mixed_words
 from resona.llm.phrases import phrase_fingerprints
 from resona.llm.repeated_lines import removed_lines, without_repeated_lines
-from resona.llm.shingle_join import Bands, one_of_each, shingle_links, similar_components, slice_keys
+from resona.llm.shingle_join import Bands, one_of_each, repeated_keys, shingle_links, similar_components, slice_keys
 
 TEXTS = "doc_id long, text string"
 
@@ -328,3 +328,13 @@ def test_licence_cosines(spark):
         assert (row["cosine"] is not None) == (best >= 0.5 - 1e-9)
         if row["cosine"] is not None:
             assert row["cosine"] == pytest.approx(best, abs=1e-6)
+
+
+def test_keys_are_not_counted_before_they_are_moved(spark):
+    """Nearly all are alone, and tables of all of a task's keys took 302 MB a task."""
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 2, 3, 3, 3, None, None)], "key long")
+    found = repeated_keys(keys)
+    assert sorted((r.key for r in found.collect()), key=lambda k: (k is None, k)) == [2, 3, None]
+    lines = repeated_keys(keys)._jdf.queryExecution().sparkPlan().toString().splitlines() + found._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert moved and not any("HashAggregate" in line for line in lines[moved[-1] :])
