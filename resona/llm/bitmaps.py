@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .frames import map_arrow
+
 # Bits of a bitmap: 8 MB, whatever the data. A full one lets everything pass.
 BITS = 1 << 26
 
@@ -50,7 +52,7 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 met = hits(shared.value, np.maximum(places, 0)) & (places >= 0)
                 yield batch.filter(pa.array(met == hit))
 
-        return placed.mapInArrow(task, placed.schema)
+        return map_arrow(placed, task, placed.schema)
 
     doubtful = rows(True).join(gone, F.col("id") == F.col("gone"), "left_anti")
     return rows(False).unionByName(doubtful).select("row.*")

@@ -10,6 +10,7 @@ from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..session import Scratch, cut, shared_folder, stored
 
@@ -88,20 +89,33 @@ def end_task() -> None:
     further tasks beside a busy JVM, and a later stage that needs no table would have the last one beside it all the time."""
     if not _asked:
         _kept.clear()
+    release()
+
+
+def release() -> None:
+    """Return free memory to the machine."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
         trim(0)
 
 
-def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers keep no free memory between tasks, and no table that no task asks for any more."""
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what one of them took is returned before the next is read, or a task keeps the most that any needed."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
+def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose workers keep no free memory between batches and tasks, and no table that no task asks for any more."""
 
     # Functions of this module, so that they work on the worker's own copy of it.
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
         try:
-            yield from task(batches)
+            yield from task(released(batches))
         finally:
             end_task()
 

@@ -236,4 +236,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> Da
         for part, (texts,) in arrow_rows(batches, "text"):
             yield part.filter(pa.array(model(np.array([statistics(t) for t in texts])) >= good))
 
-    return docs.mapInArrow(task, docs.schema)
+    return map_arrow(docs, task, docs.schema)

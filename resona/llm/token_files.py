@@ -13,6 +13,7 @@ The folder's ``manifest`` table names the shards and their files; everything els
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -33,6 +34,8 @@ PER_BATCH = 64
 # that are met again return; none of this changes a result.
 KNOWN_CHUNKS = 200_000
 KNOWN_WORDS = 400_000
+# Bytes of text that are encoded at a time.
+PART_BYTES = 4 << 20
 
 # The tokenizer file's word pattern (fields of its JSON), and its letters and numbers below
 # U+0180 after lower-casing. Chunks with other characters go to the library.
@@ -68,10 +71,11 @@ class Encoder:
 
     Where the file drops white space and no word spans it, texts are looked up chunk by chunk; chunks and words
     not met before are encoded by the library. Any other file, and any text with an added token's string or an
-    odd separator, is encoded by the library as a whole.
+    odd separator, is encoded by the library as a whole. The tables of known chunks and words are ``smaller`` times
+    smaller than usual.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, smaller: int = 1):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -95,7 +99,7 @@ class Encoder:
         self.ends = np.zeros(size, dtype=bool)
         for token, number in self.library.get_vocab(with_added_tokens=True).items():
             self.ends[number] = bool(suffix) and token.endswith(suffix)
-        self.chunks, self.words = Recent(KNOWN_CHUNKS), Recent(KNOWN_WORDS)
+        self.chunks, self.words = Recent(KNOWN_CHUNKS // smaller), Recent(KNOWN_WORDS // smaller)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
@@ -163,9 +167,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, smaller: int = 1) -> Encoder:
     """The worker's encoder for a file, kept between tasks."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    # A task has one core; threads of the library would each hold memory of their own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return kept(("encoder", path, str(smaller)), lambda: Encoder(path, smaller))
 
 
 class ShardWriter:
@@ -275,23 +281,24 @@ MANIFEST = "shard int, file string, documents long, n_tokens long"
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, length: int = LENGTH, per_batch: int = PER_BATCH
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, length: int = LENGTH, per_batch: int = PER_BATCH, smaller: int = 1
 ) -> DataFrame:
     """Encode every whole text, write the shards below ``folder`` (a URI all executors reach), and return its manifest.
 
     The manifest has a row per shard: ``shard``, ``file``, ``documents``, ``n_tokens``. It is the table ``folder/manifest``:
     a task that is repeated writes a new file, and only files of the manifest count. A null or empty text
     is the end id alone. Null ids come first; rows of one id are ordered by text, so repeated rows are adjacent.
-    An empty table writes no file. Columns other than ``doc_id`` and ``text`` are ignored.
+    An empty table writes no file. Columns other than ``doc_id`` and ``text`` are ignored. ``smaller`` divides a worker's
+    tables and the text it encodes at a time: less memory for more time, and the same files.
     """
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, shard, writer = encoder(tokenizer), TaskContext.get().partitionId(), None
+        encoding, shard, writer = encoder(tokenizer, smaller), TaskContext.get().partitionId(), None
         close = np.array([end_id], dtype=encoding.kind).tobytes()
         for batch in batches:
-            for part in in_parts(batch, 4 << 20):
+            for part in in_parts(batch, PART_BYTES // smaller):
                 if writer is None:
                     writer = ShardWriter(folder, shard, encoding.kind, length, per_batch)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoding.encode(part.column("text"))):
@@ -376,10 +383,10 @@ def digests(reader: ShardReader, base: int) -> Iterator[pa.RecordBatch]:
         yield rows(*held, reader.total())
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, smaller: int = 1) -> DataFrame:
     """Write ``docs`` as token files in ``folder`` (a new one in the session's shared folder) and return the digest read back.
 
-    Null, empty and repeated rows: see ``write_token_files``; an empty table gives no rows. ``open_token_files`` reopens a folder.
+    Null, empty and repeated rows, and ``smaller``: see ``write_token_files``; an empty table gives no rows. ``open_token_files`` reopens a folder.
     """
     folder = folder or folder_uri(docs.sparkSession, f"token-files-{uuid.uuid4().hex}")
-    return read_token_files(write_token_files(docs, tokenizer, folder, end_id))
+    return read_token_files(write_token_files(docs, tokenizer, folder, end_id, smaller=smaller))

@@ -151,6 +151,19 @@ def test_tables_of_known_strings_keep_what_is_met_again(monkeypatch):
         assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t).tolist() for t in texts]
 
 
+def test_smaller_tables_give_the_same_files(spark, docs):
+    found = [ordered(files.token_files(docs, WORDS, smaller=n), "doc_id", "start", "n_tokens", "ids_crc32") for n in (1, 100_000)]
+    assert found[0] and found[0] == found[1]
+
+
+def test_free_memory_is_returned_between_batches(monkeypatch):
+    """Only the end of a task returned it, so that workers kept the most that any batch had needed."""
+    calls = []
+    monkeypatch.setattr(frames, "release", lambda: calls.append(1))
+    seen = [len(calls) for _ in frames.released(iter([pa.record_batch([pa.array([i])], names=["i"]) for i in range(3)]))]
+    assert seen == [0, 1, 2] and len(calls) == 3
+
+
 def test_a_worker_drops_a_table_that_a_task_does_not_ask_for(spark):
     """Encoders of an earlier stage stayed beside all later ones."""
     key = ("table of this test",)

@@ -2,13 +2,14 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from brute import components, contained
 from samples import ordered
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from resona.llm import queries
-from resona.llm.frames import stored, table
+from resona.llm.frames import map_arrow, stored, table
 from resona.llm.quality import quality_scores
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,6 +45,27 @@ def test_stages(spark):
         docs = out
 
 
+def test_stages_hand_few_rows_to_workers(spark):
+    """All rows of a file's part came as one batch, which filled executors beside what earlier stages had left."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    before = {name: spark.conf.get(name) for name in corpus_pipeline.ROWS}
+    try:
+        stage = corpus_pipeline.few_rows(lambda _, docs, sf_dir: map_arrow(docs, sizes, "n long"))
+        found = [r.n for r in stage(spark, spark.range(2500).coalesce(1), SMALL).collect()]
+        assert sum(found) == 2500 and max(found) <= 1000
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
+        stage(spark, spark.range(1), SMALL)
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "64"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_every_number_has_one_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))

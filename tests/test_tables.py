@@ -1,6 +1,7 @@
 """The public tables on hand-written rows, the batch job, media folders, streaming and plans."""
 
 import json
+import time
 
 import pytest
 from helpers import records
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from resona.operators import topics
 from resona.plans import build, clusters, comments, core, creators, rollups, summaries, views
-from resona.session import fresh_path
+from resona.session import fresh_path, stored
 from resona.sources import media, tables
 from resona.sources.schemas import AUTHOR_ACTIVITY_RAW, AUTHORS_RAW, NETWORK_RAW, POSTS_RAW
 from resona.streaming.comments import label_comments, stream_comment_labels
@@ -338,3 +339,19 @@ def test_summary_texts_keep_their_partitions(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("REPARTITION_BY_NUM") < plan.index("SortMergeJoin")
     assert {r.video_id: r.overall_mood_tone for r in out.collect()} == {"1": "calm", "2": None}
+
+
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    """Shuffles stayed until the driver collected its garbage, beside those of all later steps."""
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {line for line in found.split("\n") if "/shuffle_" in line}
+
+    before = shuffles()
+    table = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "of-a-test")
+    deadline = time.time() + 20  # they go in the background
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert sorted(tuple(r) for r in table.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
