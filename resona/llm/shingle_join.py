@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from .bitmaps import bitmap, hits, place, without_ids
-from .frames import Scratch, arrow_rows, in_parts, map_arrow, read_docs, small_batches, stored
+from .frames import Scratch, arrow_rows, map_arrow, read_docs, release, small_batches, stored
 from .shingles import mixed, shingle_set
 
 
@@ -32,6 +33,10 @@ LARGEST = 1 << 40
 NO_KEYS = np.empty(0, np.int64)
 # Partitions of all documents' keys, as a multiple of the session's number.
 KEY_PARTS = 4
+# Keys that a task deals out at a time.
+DEALT_KEYS = 1 << 21
+# Counters of elements around hubs, whatever the data, and how many of them a task sums at a time. Shared ones only change an order.
+SPOTS, SPOTS_PART = 1 << 24, 1 << 16
 HALVES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -180,26 +185,82 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("hub", "node", "n_node", "n_hub", differ.alias("differ"))
 
 
+def spots(hubs: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """Counters of elements around hubs."""
+    return (mixed(elements.view(np.uint64) + mixed(hubs.view(np.uint64))) & np.uint64(SPOTS - 1)).astype(np.int64)
+
+
+def of_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a batch's rows, and the row of each."""
+    lists = batch.column("differ")
+    return lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """How many rows ``(hub, differ)`` hold an element, to about a tenth, in a table of fixed size that different ones may share."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, row = of_rows(batch)
+            found, times = np.unique(spots(batch.column("hub").to_numpy()[row], elements), return_counts=True)
+            starts = np.flatnonzero(np.r_[True, np.diff(found // SPOTS_PART) > 0]) if len(found) else np.empty(0, int)
+            ends = np.r_[starts[1:], len(found)].astype(int)
+            low, times = (found % SPOTS_PART).astype(np.uint16), times.astype(np.uint32)
+            yield pa.record_batch(
+                [pa.array((found[starts] // SPOTS_PART).astype(np.int32)), *[pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (low, times)]],
+                names=["part", "low", "times"],
+            )
+
+    def total(part: pa.Table) -> pa.Table:
+        low, times = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind) for c, kind in (("low", np.uint16), ("times", np.uint32)))
+        levels = np.ceil(8 * np.log2(np.bincount(low, times, SPOTS_PART) + 1)).astype(np.uint8)
+        return pa.table([part.column("part").slice(0, 1), pa.array([levels.tobytes()], pa.binary())], names=["part", "levels"])
+
+    found = map_arrow(rows.select("hub", "differ"), tally, "part int, low binary, times binary").groupBy("part").applyInArrow(total, "part int, levels binary")
+    out = np.zeros(SPOTS, np.uint8)
+    for row in found.toLocalIterator():
+        out[row["part"] * SPOTS_PART : (row["part"] + 1) * SPOTS_PART] = np.frombuffer(row["levels"], np.uint8)
+    return out
+
+
+def prefixes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(hub, node, c, n, linked, a, r, e)``: the first ``reach`` elements of each row, in one order for all rows of a hub.
+
+    Any such order is right. Rare elements come first, by counters of a fixed size: exact counts would have to be moved to all
+    elements of all rows.
+    """
+    levels = scratch.broadcast(frequencies(rows))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, row = of_rows(batch)
+            order = np.lexsort((elements, levels.value[spots(batch.column("hub").to_numpy()[row], elements)], row))
+            elements, row = elements[order], row[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            few = rank < batch.column("reach").to_numpy()[row]
+            of = pa.array(row[few])
+            columns = [batch.column(c).take(of) for c in ("hub", "node", "c", "n", "linked", "a")]
+            yield pa.record_batch([*columns, pa.array(rank[few].astype(np.int32)), pa.array(elements[few])], names=["hub", "node", "c", "n", "linked", "a", "r", "e"])
+
+    given = rows.select("hub", "node", "c", "n", "linked", "a", "differ", "reach")
+    return map_arrow(given, task, "hub long, node long, c long, n long, linked boolean, a int, r int, e long")
+
+
 def around_hubs(compared: DataFrame, components: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links ``(src, dst)`` among nodes that were compared with one hub and lie in different components."""
     placed = compared.join(components, "node").withColumn("a", F.size("differ"))
     # The pairs with the hub itself are known, so a hub whose other nodes are all joined is done.
     groups = placed.groupBy("hub").agg((F.min("c") < F.max("c")).alias("open")).filter("open").select("hub")
     rows = scratch.stored(placed.join(groups, "hub").select("hub", "node", "c", F.col("n_node").alias("n"), "linked", "a", "differ"), "hub-rows")
-    elements = rows.select("hub", "node", "c", "n", "linked", "a", F.explode("differ").alias("e"))
-    often = elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), (F.min("c") < F.max("c")).alias("apart"))
-    ranked = elements.join(often, ["hub", "e"]).groupBy("hub", "node", "c", "n", "linked", "a").agg(
-        F.array_sort(F.collect_list(F.struct("df", "e", "apart"))).alias("order")  # as many as a pair of documents has shingles
-    )
     # A partner differs from the hub by at least a - d, and shares at least (a + b - d) / 2 elements.
     own = F.floor(F.col("n") * 100 / F.lit(percent))
     limit = most_different(F.col("n"), own, percent)
     # Of a linked node and one that isn't, b exceeds the limit towards the hub, which may be a share of a below d.
     reach = F.when(F.col("linked"), F.floor(F.col("a") * 100 / F.lit(100 + percent)) + 2).otherwise(F.least(F.col("a"), limit + 1))
-    ranked = ranked.select("hub", "node", "c", "n", "linked", "a", F.posexplode(F.slice("order", F.lit(1), F.greatest(reach, F.lit(1)).cast("int"))).alias("r", "x"))
+    ranked = prefixes(rows.withColumn("reach", F.greatest(reach, F.lit(1)).cast("int")), scratch)
     # Elements that only nodes of one component have join nothing.
-    ranked = ranked.filter("x.apart").select("hub", "node", "c", "n", "linked", "a", "r", F.col("x.e").alias("e"))
-    ranked = scratch.stored(ranked, "hub-prefixes")
+    often = ranked.groupBy("hub", "e").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("hub", "e")
+    ranked = scratch.stored(ranked.join(often, ["hub", "e"]), "hub-prefixes")
     left = ranked.select("hub", "e", *[F.col(c).alias(f"{c}1") for c in ("node", "c", "n", "linked", "a", "r")])
     right = ranked.select("hub", "e", *[F.col(c).alias(f"{c}2") for c in ("node", "c", "n", "linked", "a", "r")])
     shared = F.ceil((F.col("a1") + F.col("a2") - most_different(F.col("n1"), F.col("n2"), percent)) / 2)
@@ -228,56 +289,136 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition(parts, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1").select("key")
 
 
-def similar_slices(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(key, node, copies)``: the slices by which nodes may have partners, from the keys of all documents.
+def dealt_keys(docs: DataFrame, width: int, percent: int, chosen) -> DataFrame:
+    """The slice keys of the documents in the bitmap ``chosen``, as few rows ``part, batch, first, owners, keys``.
+
+    A batch holds some documents of a task. Their cells have numbers; of each part of the keys a row has the low 48 bits, and the
+    number of each key's cell as the step from the one before, since rows of a key each would take four times as much disk. A
+    row of its own with ``first`` -1 has what the numbers stand for: ``least`` and the documents' places.
+    """
+    bands, parts = Bands(percent, LARGEST), min(1 << 15, KEY_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(places: list[int], least: list[int], lists: list[np.ndarray]) -> pa.RecordBatch:
+        named = np.array(places, np.int32), np.array(least, np.int32)
+        keys, owners = np.concatenate(lists).view(np.uint64), np.repeat(np.arange(len(lists)), list(map(len, lists)))
+        part = ((keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        keys, owners, part = keys[order], owners[order], part[order]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        steps = np.diff(owners, prepend=0)
+        first, steps[starts] = owners[starts], 0
+        low = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+        # Named by what it holds, so that a task that is repeated in another order of rows is seen.
+        batch = int(mixed(mixed(owners.astype(np.uint64) + keys) + named[0][owners].astype(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        rows = [(int(part[a]), int(f), narrow(steps[a:b]), low[a:b].tobytes()) for a, b, f in zip(starts, np.r_[starts[1:], len(keys)], first)]
+        rows.append((batch % parts, -1, named[1].tobytes(), named[0].tobytes()))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+        return pa.record_batch([columns[0], pa.array([batch] * len(rows), pa.int64()), *columns[1:]], names=["part", "batch", "first", "owners", "keys"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, least, lists, held = [], [], [], 0
+        for batch in batches:
+            batch = batch.filter(pa.array(hits(chosen.value, batch.column("place").to_numpy())))
+            for _, (at, texts) in arrow_rows([batch], "place", "text", most_bytes=1 << 20):
+                for spot, text in zip(at, texts):
+                    for _, few, keys in slice_keys(shingle_set(text, width), bands):
+                        places.append(spot)
+                        least.append(few)
+                        lists.append(keys)
+                        held += len(keys)
+                    if held >= DEALT_KEYS:
+                        yield dealt(places, least, lists)
+                        places, least, lists, held = [], [], [], 0
+        if held:
+            yield dealt(places, least, lists)
+
+    rows = docs.filter("doc_id IS NOT NULL").select("text", place(F.col("doc_id")).alias("place"))
+    return map_arrow(rows, task, "part int, batch long, first int, owners binary, keys binary")
+
+
+def narrow(steps: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest bytes each."""
+    return steps.astype(np.min_scalar_type(int(steps.max(initial=0)))).tobytes()
+
+
+def meeting(dealt: DataFrame) -> DataFrame:
+    """Places of the documents of which some cell shares ``least`` keys with others, from ``dealt_keys``.
+
+    Two keys that agree in 48 bits and their part count as shared, which only lets more documents pass.
+    """
+
+    def shared(part: pa.Table) -> pa.Table:
+        names = part.filter(pc.less(part.column("first"), 0))
+        rows = part.filter(pc.greater_equal(part.column("first"), 0))
+        out = {"batch": names.column("batch").to_pylist(), "owners": [None] * names.num_rows, "counts": names.column("owners").to_pylist(), "places": names.column("keys").to_pylist()}
+        lists, steps = rows.column("keys").to_pylist(), rows.column("owners").to_pylist()
+        counts = np.array([len(x) // 6 for x in lists], np.int64)
+        wide = np.zeros((int(counts.sum()), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, 6)
+        keys = wide.view(np.uint64).ravel()
+        order = np.argsort(keys)
+        again = keys[order[1:]] == keys[order[:-1]]
+        met = np.zeros(len(keys), bool)
+        met[order[1:][again]] = met[order[:-1][again]] = True
+        for batch, first, step, a, count in zip(rows.column("batch").to_pylist(), rows.column("first").to_pylist(), steps, np.cumsum(counts) - counts, counts):
+            if met[a : a + count].any():
+                owners = first + np.cumsum(np.frombuffer(step, f"u{len(step) // count}"), dtype=np.int64)
+                found, times = np.unique(owners[met[a : a + count]], return_counts=True)
+                for name, value in zip(out, (batch, found.astype(np.int32).tobytes(), times.astype(np.int32).tobytes(), None)):
+                    out[name].append(value)
+        release()
+        return pa.table([pa.array(v, pa.int64() if k == "batch" else pa.binary()) for k, v in out.items()], names=list(out))
+
+    def enough(batch: pa.Table) -> pa.Table:
+        named = batch.filter(pc.is_valid(batch.column("places")))
+        if named.num_rows != 1:
+            raise RuntimeError("a repeated task read its rows in another order; run the job again")
+        least, places = (np.frombuffer(named.column(c)[0].as_py(), np.int32) for c in ("counts", "places"))
+        rows = batch.filter(pc.is_null(batch.column("places")))
+        owners, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int32) for c in ("owners", "counts"))
+        total = np.bincount(owners, counts, len(least))
+        return pa.table([pa.array(np.unique(places[total >= least]).astype(np.int64))], names=["place"])
+
+    counted = dealt.groupBy("part").applyInArrow(shared, "batch long, owners binary, counts binary, places binary")
+    return counted.groupBy("batch").applyInArrow(enough, "place long")
+
+
+def similar_slices(docs: DataFrame, width: int, percent: int, nodes: DataFrame) -> DataFrame:
+    """``(key, node, copies)``: the slices by which nodes may have partners.
 
     Similar nodes share ``least`` of a cell's keys. Nodes that share fewer with anyone are dropped, which makes further
     keys rare, and so on. Of the others' shared keys, all but the ``least - 1`` most frequent ones are enough.
     """
-    scratch = Scratch(keyed.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     # Documents that stand for a node, by bitmap; the join below drops what hits it by chance.
     first = scratch.broadcast(bitmap(nodes.select(place(F.col("rep")))))
-
-    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # All documents' keys are moved once, packed. Only those of documents that share enough become rows.
+    left = scratch.stored(meeting(dealt_keys(docs, width, percent, first)), "meeting")
+    met = scratch.broadcast(bitmap(left))
+    named = nodes.select(F.col("rep").alias("doc_id"), "sum_a", "node")
+    keyed = set_rows(docs.filter("doc_id IS NOT NULL"), width, "keys", percent, chosen=met).join(named, ["doc_id", "sum_a"])
+    keyed = keyed.select("node", "cell", "least", "held", "keys").dropDuplicates(["node"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("keys").filter(pa.array(hits(first.value, batch.column("place").to_numpy())))], ["keys"])
+            held, least, cell = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("held", "least", "cell"))
+            rows = np.repeat(np.arange(batch.num_rows), batch.column("cell").value_lengths().to_numpy())
+            owner = np.repeat(np.arange(len(held)), held)  # of each key, its document's cell
+            nodes = batch.column("node").take(pa.array(rows[owner]))
+            yield pa.record_batch([batch.column("keys").flatten(), nodes, pa.array(cell[owner]), pa.array(least[owner])], names=["key", "node", "cell", "least"])
 
-    placed = keyed.filter("doc_id IS NOT NULL").withColumn("place", place(F.col("doc_id")))
-    shared = map_arrow(placed.select("place", "keys"), standing, "keys array<long>").select(F.explode("keys").alias("key"))
-    shared = scratch.stored(repeated_keys(shared), "shared-keys")
-    frequent = scratch.broadcast(bitmap(shared.select(F.pmod("key", F.lit(1 << 26)))))
-
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(hits(first.value, batch.column("place").to_numpy())))
-            for part in in_parts(batch, 1 << 20):
-                keys = part.column("keys").flatten().to_numpy(zero_copy_only=False)
-                held, least, cell = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("held", "least", "cell"))
-                met = hits(frequent.value, keys & ((1 << 26) - 1))
-                owners = np.repeat(np.arange(len(held)), held)  # of each key, its document's cell
-                enough = np.bincount(owners[met], minlength=len(held)) >= least
-                met &= enough[owners]
-                owner = owners[met]
-                rows = np.repeat(np.arange(part.num_rows), part.column("cell").value_lengths().to_numpy())[owner]
-                columns = [part.column(c).take(pa.array(rows)) for c in ("doc_id", "sum_a")]
-                yield pa.record_batch([*columns, pa.array(cell[owner]), pa.array(least[owner]), pa.array(keys[met])], names=["doc_id", "sum_a", "cell", "least", "key"])
-
-    rows = map_arrow(placed, thinned, "doc_id long, sum_a long, cell int, least int, key long")
-    # Keys that hit the bitmap by chance are dropped by the counts below; repeated rows only make keys look less rare.
-    named = nodes.select(F.col("rep").alias("doc_id"), "sum_a", "node", "copies")
-    rows = rows.join(named, ["doc_id", "sum_a"]).select("key", "node", "cell", "least", "copies")
-    rows = scratch.stored(rows, "slices")
+    rows = scratch.stored(map_arrow(keyed, split, "key long, node long, cell int, least int"), "slices")
     before, count = None, rows.count()
     # Any number of rounds is right; they end when little is left to drop.
     while before is None or count < 0.9 * before:
-        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).filter("n_key > 1")
-        kept = rows.drop("n_key", "held").join(often, "key")
+        kept = rows.select("key", "node", "cell", "least").join(repeated_keys(rows.select("key")), "key")
         held = kept.groupBy("node", "cell").agg(F.count(F.lit(1)).alias("held"))
         rows = scratch.stored(kept.join(held, ["node", "cell"]).filter("held >= least"), "shared-slices")
         before, count = count, rows.count()
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
     own = Window.partitionBy("node", "cell").orderBy("n_key", "key")  # the slices of one text
-    rarest = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= F.col("held") - F.col("least") + 1)
-    members = stored(rarest.select("key", "node", "copies").distinct(), "members")
+    rarest = rows.join(often, "key").withColumn("r", F.row_number().over(own)).filter(F.col("r") <= F.col("held") - F.col("least") + 1)
+    members = stored(rarest.select("key", "node").distinct().join(nodes.select("node", "copies"), "node").select("key", "node", "copies"), "members")
     scratch.clear()
     return members
 
@@ -298,12 +439,10 @@ def merged(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFra
 def linked_nodes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sets of all rows, nodes (distinct sets), links that connect all nodes that are similar, and the components ``(node, c)``
     of those that may have partners."""
-    scratch, first = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    keyed = first.stored(set_rows(docs, width, "keys", percent), "set-keys")
-    base = stored(keyed.select("doc_id", *SET_KEY), "sets")
+    scratch = Scratch(docs.sparkSession)
+    base = stored(set_rows(docs, width), "sets")
     nodes = stored(set_nodes(base), "set-nodes")
-    buckets = scratch.stored(with_hubs(similar_slices(keyed, nodes)), "buckets")
-    first.clear()
+    buckets = scratch.stored(with_hubs(similar_slices(docs, width, percent, nodes)), "buckets")
     involved = scratch.stored(buckets.select("node").distinct().join(nodes, "node").select("node", *SET_KEY, F.col("rep").alias("doc_id")), "involved")
     chosen = scratch.broadcast(bitmap(involved.select(place(F.col("doc_id")))))
     sets = set_rows(docs.filter("doc_id IS NOT NULL"), width, "shingles", chosen=chosen).join(involved, ["doc_id", *SET_KEY])

@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,12 +11,14 @@ from samples import ordered
 from pyspark.sql import functions as F
 
 from resona.llm import shingle_join
+from resona.llm.bitmaps import BITS, place
 from resona.llm.decontamination import contained_items, decontaminated
 from resona.llm.licenses import NOTICES, TEXTS as LICENCES, license_scan, rarity
 from resona.llm.mixing import mix, mixed_words
 from resona.llm.phrases import phrase_fingerprints
 from resona.llm.repeated_lines import removed_lines, without_repeated_lines
-from resona.llm.shingle_join import Bands, one_of_each, repeated_keys, shingle_links, similar_components, slice_keys
+from resona.llm.shingle_join import Bands, dealt_keys, meeting, one_of_each, prefixes, repeated_keys, shingle_links, similar_components, slice_keys
+from resona.llm.shingles import shingle_set
 
 TEXTS = "doc_id long, text string"
 
@@ -116,6 +118,51 @@ def test_families_that_share_a_passage(spark, monkeypatch):
     assert counts[1] < 6 * counts[0] and counts[1] < 8 * 176
 
 
+def test_keys_of_all_documents_are_not_stored(spark, monkeypatch):
+    """Of documents without partners no key is stored or becomes a row, and what is moved takes less than a key and its row."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(400))) for i in range(200)]
+    rows += [(300 + i, f"{rows[0][1]} more{i}") for i in range(3)] + [(400, rows[1][1])]
+    docs = spark.createDataFrame(rows, TEXTS).repartition(3)
+    stored_rows = []
+
+    class Spy(shingle_join.Scratch):
+        def stored(self, df, name):
+            out = super().stored(df, name)
+            stored_rows.append((name, out.count()))
+            return out
+
+    monkeypatch.setattr(shingle_join, "Scratch", Spy)
+    assert ordered(similar_components(docs, 5, 80)) == sorted((i, *v) for (i, _), v in components(rows, 5, 80).items())
+    bands, keys = Bands(80, 4000), {}
+    for i, text in rows[:-1]:
+        keys[i] = [(least, set(k.tolist())) for _, least, k in slice_keys(shingle_set(text, 5), bands)]
+    stored_rows = dict(reversed(stored_rows))  # the first of each name
+    assert "set-keys" not in stored_rows and 0 < stored_rows["slices"] < 10 * max(len(k) for cells in keys.values() for _, k in cells)
+    everyone = spark.sparkContext.broadcast(np.full(BITS // 8, 255, np.uint8))
+    dealt = dealt_keys(spark.createDataFrame(rows[:-1], TEXTS).repartition(3), 5, 80, everyone).cache()
+    found = {x.place for x in meeting(dealt).collect()}
+    held = [k for cells in keys.values() for _, own in cells for k in own]
+    often = {k for k, n in Counter(held).items() if n > 1}
+    wanted = [i for i, cells in keys.items() if any(len(own & often) >= least for least, own in cells)]
+    assert wanted == [0, 300, 301, 302]
+    assert found == {x.at for x in spark.createDataFrame([(i,) for i in wanted], "i long").select(place(F.col("i")).alias("at")).collect()}
+    moved = dealt.filter("first >= 0").agg(F.sum(F.length("owners") + F.length("keys"))).first()[0]
+    assert 6 * len(held) < moved < 8 * len(held)
+
+
+def test_rare_elements_come_first(spark):
+    rows = [(1, i, 10 * i, 5, False, 4, [7, 8, 100 + i, 200 + i], 2) for i in range(40)] + [(2, 50, 1, 5, True, 2, [7, 300], 2), (2, 51, 1, 5, True, 0, [], 1)]
+    given = spark.createDataFrame(rows, "hub long, node long, c long, n long, linked boolean, a int, differ array<long>, reach int").repartition(3)
+    scratch = shingle_join.Scratch(spark)
+    found = defaultdict(dict)
+    for x in prefixes(given, scratch).collect():
+        found[x.hub, x.node][x.r] = x.e
+    assert all(set(found[1, i].values()) == {100 + i, 200 + i} and set(found[1, i]) == {0, 1} for i in range(40))
+    assert set(found[2, 50].values()) == {7, 300} and (2, 51) not in found
+    scratch.clear()
+
+
 def test_similar_sets_share_enough_slices():
     r = np.random.default_rng(4)
     for percent in (80, 90):
