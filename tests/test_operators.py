@@ -7,6 +7,7 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import records
 from pyspark.sql import functions as F
@@ -399,3 +400,31 @@ def test_kmeans_with_fewer_texts_than_clusters(spark, monkeypatch):
 def test_cluster_counts():
     tried = {n: list(topics.cluster_counts_to_try(n)) for n in (1, 2, 3, 4, 10, 13, 100)}
     assert tried == {1: [], 2: [], 3: [2], 4: [2, 3], 10: [2, 3, 4], 13: [2, 3, 4, 5], 100: list(range(2, 10))}
+
+
+def test_terms_are_sent_once_and_packed(spark):
+    """A row per term of a block took 15 bytes and more each way."""
+    docs = spark.createDataFrame([(i, [f"word{j} word{(j * j) % 997}" for j in range(i % 5, 900, 3)] + ["", "é ø", "x" * i]) for i in range(60)] + [(60, []), (61, None)], "id long, terms array<string>")
+    docs = topics.in_blocks(docs, "id", F.lit(1))
+    plain = {}
+    for row in docs.collect():
+        for term in set(row.terms or ()):
+            plain.setdefault(term, {}).setdefault(row.block, set()).add(row.id)
+    wanted = {(block, term): len(set().union(*held.values())) for term, held in plain.items() for block in held}
+    found = topics.vocabulary(docs, "id", 62, max_df=1.0)
+    assert {(x.block, x.term): x.df for x in found.collect()} == wanted and found.count() == len(wanted)
+    few = topics.vocabulary(docs, "id", 62, max_df=0.5, min_df=2).collect()
+    assert {(x.block, x.term): x.df for x in few} == {k: v for k, v in wanted.items() if 2 <= v <= 31}
+    packed = topics.packed_vocabulary(docs, "id")
+    assert packed.agg(F.sum(F.length("df"))).first()[0] < 3 * len(wanted) and packed.count() <= 4 * 4
+
+
+def test_terms_of_equal_numbers_have_one_order(monkeypatch):
+    terms = pa.array([f"t{i}" for i in range(500)] + ["", "a" * 70, "é"])
+    order, numbers = topics._in_order(terms)
+    assert sorted(order) == list(range(503)) and (np.diff(numbers.astype(float)) >= 0).all()
+    monkeypatch.setattr(topics, "_mixed", lambda values: values * np.uint64(0))
+    turned = terms.take(pa.array(np.arange(502, -1, -1)))
+    assert terms.take(pa.array(topics._in_order(terms)[0])) == turned.take(pa.array(topics._in_order(turned)[0])) == pa.array(sorted(terms.to_pylist()))
+    ends = topics._dealt(np.array([0, 1 << 62, 1 << 63, 2**64 - 1], np.uint64), 4)
+    assert ends.tolist() == [0, 1, 2, 3, 4]
