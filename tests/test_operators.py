@@ -428,3 +428,28 @@ def test_terms_of_equal_numbers_have_one_order(monkeypatch):
     assert terms.take(pa.array(topics._in_order(terms)[0])) == turned.take(pa.array(topics._in_order(turned)[0])) == pa.array(sorted(terms.to_pylist()))
     ends = topics._dealt(np.array([0, 1 << 62, 1 << 63, 2**64 - 1], np.uint64), 4)
     assert ends.tolist() == [0, 1, 2, 3, 4]
+
+
+def test_descriptions_store_no_row_per_term(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [(i, " ".join(f"w{r.randrange(4000)}" for _ in range(150)) + " sun" * (i % 3)) for i in range(60)]
+    frame = spark.createDataFrame(texts, "id long, t string")
+    rows = []
+
+    def spy(df, name, kept=clusters.stored):
+        out = kept(df, name)
+        rows.append(out.count())
+        return out
+
+    for module in (clusters, topics):
+        monkeypatch.setattr(module, "stored", spy, raising=False)
+    found = {x.c: x for x in clusters.describe_clusters(frame, "t", frame.selectExpr("id", "id % 2 AS c"), "id", "c", []).collect()}
+    sums, weights = defaultdict(float), defaultdict(dict)
+    for x in topics.term_weights(topics.add_terms(frame, "t", [], doc="id"), "id").collect():
+        sums[x.id % 2, x.term] += x.weight
+        weights[x.id][x.term] = x.weight
+    for c in (0, 1):
+        terms = sorted((t for k, t in sums if k == c), key=lambda t: (-round(sums[c, t] / 30, 10), t))
+        assert found[c].cluster_terms == ", ".join(terms[:8])
+        assert found[c].representative == min((-round(sum(w * sums[c, t] / 30 for t, w in own.items()), 10), i) for i, own in weights.items() if i % 2 == c)[1]
+    assert len(sums) > 10_000 and max(rows) < 400
